@@ -38,19 +38,19 @@ def _key(column: str) -> str:
 
 _CASES = f"""
 WITH refs AS (
-  SELECT 'feelings' AS tab, feeling_id AS ref_id, unnest(verses) AS verse_id, created_at AS at FROM feelings
+  SELECT 'feelings' AS tab, feeling_id AS ref_id, unnest(verses) AS verse_id, created_at AS ts FROM feelings
   UNION ALL SELECT 'progress', progress_id, verse_id, read_at FROM progress
   UNION ALL SELECT 'bookmarks', bookmark_id, verse_id, created_at FROM bookmarks),
 r AS (SELECT DISTINCT *, {_key('verse_id')} AS k FROM refs),
 v AS (SELECT DISTINCT {_key('id')} AS k, added_at, deleted_at FROM verses),
-live AS (SELECT DISTINCT r.tab, r.ref_id, r.verse_id, r.at FROM r JOIN v ON r.k = v.k
-  WHERE r.at IS NULL OR ((v.added_at IS NULL OR v.added_at <= r.at) AND (v.deleted_at IS NULL OR r.at < v.deleted_at))),
-cases AS (SELECT r.* FROM r LEFT JOIN live l ON r.tab = l.tab AND r.ref_id IS NOT DISTINCT FROM l.ref_id AND r.verse_id = l.verse_id AND r.at IS NOT DISTINCT FROM l.at
+live AS (SELECT DISTINCT r.tab, r.ref_id, r.verse_id, r.ts FROM r JOIN v ON r.k = v.k
+  WHERE r.ts IS NULL OR ((v.added_at IS NULL OR v.added_at <= r.ts) AND (v.deleted_at IS NULL OR r.ts < v.deleted_at))),
+cases AS (SELECT r.* FROM r LEFT JOIN live l ON r.tab = l.tab AND r.ref_id IS NOT DISTINCT FROM l.ref_id AND r.verse_id = l.verse_id AND r.ts IS NOT DISTINCT FROM l.ts
   WHERE r.k IS NOT NULL AND l.tab IS NULL)
 """
 
 QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods}
 ORACLES = {
     "p2_found": _CASES + "SELECT DISTINCT tab, ref_id, verse_id FROM cases",
-    "p2_periods": _CASES + "SELECT tab, coalesce(strftime(at, '%Y-%m'), 'unknown') AS period, count(*) AS orphans, count(DISTINCT k) AS keys FROM cases GROUP BY 1, 2",
+    "p2_periods": _CASES + "SELECT tab, coalesce(strftime(ts, '%Y-%m'), 'unknown') AS period, count(*) AS orphans, count(DISTINCT k) AS keys FROM cases GROUP BY 1, 2",
 }
