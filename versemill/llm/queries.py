@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import forms, leaks, mixing, reading, scans, spans
+from versemill.llm import alignment, forms, leaks, mixing, reading, scans, spans
 from versemill.runtime import table
 
 
+def _aligned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return alignment.aligned(*(table(spark, folder, name) for name in ("verses", "renderings", "align", "glossary")))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _aligned(spark, folder)[0].select("verse_id", "rendition", "sent_no")
+
+
+def p1_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    return _aligned(spark, folder)[1]
+
+
 def _scan(spark: SparkSession, folder: str) -> DataFrame:
     return scans.scan_findings(table(spark, folder, "triptych"), [table(spark, folder, "renderings").select("text"), table(spark, folder, "verses").select("meaning")])
 
@@ -81,6 +93,6 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_portions(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p4_groups, p4_plain, p5_found, p5_profile, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_dictionary, p3_found, p3_repaired, p4_found, p4_groups, p4_plain, p5_found, p5_profile, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_shared)}
 #: No SQL: these need rolling hashes, tokenizers, trained tables or code-point rules; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
