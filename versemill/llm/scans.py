@@ -168,8 +168,9 @@ def scan_findings(pages: DataFrame, clean: list[DataFrame], chapter_col: str = "
     parts of a break are joined with or without the hyphen, whichever form the words' counts favour. place is the word's
     index among its line's tokens, -1 for page matter. Null and empty paragraphs or arrays give no rows, para counts them.
     """
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     paras = pages.select(pages[chapter_col].cast("int").alias("chapter"), F.posexplode(pages[paras_col]).alias("para", "x")).select("chapter", "para", F.col("x.text").alias("text")).where("text is not null")
-    paras = paras.distinct()
+    paras = paras.repartition(parts, "chapter", "para").distinct()  # a fixed number: the reading below is the long part
     heads, counted = _learnt(paras.select(F.explode(F.split("text", "\n")).alias("text")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +208,6 @@ def scan_findings(pages: DataFrame, clean: list[DataFrame], chapter_col: str = "
     marked = unknown.where("raw <> word and own_clean > 0").select("raw", F.col("word").alias("right"))
     unknown = stored(unknown.where("own_clean = 0").withColumn("h", anagram_hash(F.col("word"))))
 
-    spark = pages.sparkSession
     single = {_value(y) - _value(x) for x, y in _PAIRS}
     double = {a + b for a in single for b in single} - single - {0}
 
@@ -216,9 +216,8 @@ def scan_findings(pages: DataFrame, clean: list[DataFrame], chapter_col: str = "
         return pd.Series([explained(a, b) for a, b in zip(seen, printed)], dtype="int32")
 
     def corrected(rare: DataFrame, differences: set[int]) -> DataFrame:
-        deltas = F.broadcast(spark.createDataFrame([(d,) for d in sorted(differences)], "d long"))  # a fixed list
         right = small(counts.where("n > 1 or clean > 0").select(F.col("w").alias("right"), F.col("n").alias("of"), "h"))
-        met = rare.join(deltas).withColumn("h", F.col("h") + F.col("d")).join(right, "h").where((F.col("of") >= RATIO * F.col("own")) & (F.abs(F.length("word") - F.length("right")) <= 4))
+        met = rare.withColumn("h", F.explode(F.transform(F.lit(sorted(differences)), lambda d: d + F.col("h")))).join(right, "h").where((F.col("of") >= RATIO * F.col("own")) & (F.abs(F.length("word") - F.length("right")) <= 4))
         met = met.withColumn("steps", steps("word", "right")).where("steps > 0")
         best = met.groupBy("raw").agg(F.min(F.struct("steps", (-F.col("of")).alias("of"), "right")).alias("b"))
         return best.select("raw", "b.right")
