@@ -46,7 +46,7 @@ def to_iast(text: str) -> str:
     return "".join(out) + "a" * waiting
 
 
-_SYLLABLE = re.compile(f"([{''.join(CONSONANTS)}])({VIRAMA}|[{''.join(SIGNS)}])?|([{''.join(VOWELS)}{''.join(MARKS)}])")
+_SYLLABLE = re.compile(f"([{''.join(CONSONANTS)}])({VIRAMA}|[{''.join(SIGNS)}])?|([{''.join(VOWELS)}{''.join(MARKS)}{''.join(SIGNS)}])")
 
 
 def to_iast_by_syllable(text: str) -> str:
@@ -55,7 +55,7 @@ def to_iast_by_syllable(text: str) -> str:
     def one(m: re.Match) -> str:
         if m[1]:
             return CONSONANTS[m[1]] + ("" if m[2] == VIRAMA else SIGNS[m[2]] if m[2] else "a")
-        return VOWELS.get(m[3]) or MARKS[m[3]]
+        return VOWELS.get(m[3]) or SIGNS.get(m[3]) or MARKS[m[3]]
 
     return _SYLLABLE.sub(one, unicodedata.normalize("NFC", text))
 
