@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versemill.functions.lexical import Lexicon, lemmas
+from versemill.runtime import stored
 
 
 def coded_paragraphs(pages: DataFrame) -> DataFrame:
@@ -109,9 +110,9 @@ def verdicts(units: DataFrame, align: DataFrame, pages: DataFrame, glossary: Dat
     Half of the lemmas must be covered. In this order: fewer than three lemmas NAME-LIST, blank prose TELANG-ABSENT, no
     stanza ARNOLD-ABSENT, both CONSENSUS, one SINGLE-SOURCE, none ORPHAN. Counts instead of rounded shares.
     """
-    ours = nameless_lemma_rows(units.where("meaning is not null").select("id", "meaning"), "id", "meaning", lexicon)
-    edges = synonym_edges(glossary, lexicon)
-    prose, verse = contexts(align, pages), stanza_of(align, pages)
+    ours = stored(nameless_lemma_rows(units.where("meaning is not null").select("id", "meaning"), "id", "meaning", lexicon))
+    edges = stored(synonym_edges(glossary, lexicon))
+    prose, verse = stored(contexts(align, pages)), stored(stanza_of(align, pages))
     side = lambda df, text: coverage(ours, expanded(lemma_rows(df, "id", text, lexicon), "id", edges), "id")
     a = side(prose, "context").select("id", "total", F.col("covered").alias("covered_prose"))
     b = side(verse, "stanza").select("id", F.col("covered").alias("covered_verse"))

@@ -40,18 +40,20 @@ def _pieces(word: Column, n: int) -> Column:
 
 
 def glossary_leaks(texts: DataFrame, key: str, text: str, glossary: DataFrame) -> DataFrame:
-    """(id, term, rendering): a text holds a term without that rendering (LX14, DQ5).
+    """(id, term, rendering): a text holds a term without that rendering (LX14, DQ5), found as parts of words.
 
-    Terms of the glossary are words, so texts are cut into words and joined on equality; a term inside a longer word is
-    found through the words' own prefixes of a term's length, never by meeting all terms with all texts.
+    Terms are words, so the corpus's distinct words are cut into pieces of the terms' lengths and joined with the terms on
+    equality; texts meet the terms through the words they hold, and only the texts that do are read for the rendering. No
+    term meets all texts. Null texts and terms give no rows.
     """
     terms = glossary.where("term is not null and rendering is not null and term not like '\\\\_%'").select(F.lower("term").alias("term"), F.lower("rendering").alias("rendering")).distinct()
     sizes = [r.n for r in terms.select(F.length("term").alias("n")).distinct().collect()]  # lengths of words: a few dozen
     low = F.lower(F.col(text))
-    words = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), low.alias("text"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))).alias("word"))
+    words = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))).alias("word"))
     pieces = F.flatten(F.array(*(_pieces(F.col("word"), n) for n in sizes))) if sizes else F.array(F.col("word"))
-    met = words.select("id", "text", F.explode(F.array_distinct(pieces)).alias("term")).join(terms, "term")
-    return met.where(~F.contains("text", "rendering")).select("id", "term", "rendering").distinct()
+    holding = words.select("word").distinct().select("word", F.explode(F.array_distinct(pieces)).alias("term")).join(terms, "term")
+    met = words.join(holding, "word").select("id", "term", "rendering").distinct()
+    return texts.select(F.col(key).alias("id"), low.alias("low")).join(met, "id").where(~F.contains("low", "rendering")).select("id", "term", "rendering").distinct()
 
 
 def gate(found: DataFrame) -> bool:
