@@ -40,11 +40,25 @@ def _prototype(ch: str, script: str) -> str:
     return _LATIN.get(ch, ":" if ch in _COLONS else ch)
 
 
+class _Prototypes(dict):
+    """The prototypes of a script by code point, worked out when a character is first met."""
+
+    def __init__(self, script: str):
+        self.script = script
+
+    def __missing__(self, code: int) -> str:
+        self[code] = _prototype(chr(code), self.script)
+        return self[code]
+
+
+_TABLES = {script: _Prototypes(script) for script in ("devanagari", "latin")}
+
+
 def skeleton(text: str | None, script: str) -> str | None:
     """Decompose, put each character's prototype in its place, decompose again."""
     if text is None:
         return None
-    once = "".join(_prototype(ch, script) for ch in unicodedata.normalize("NFKD", "".join(_prototype(ch, script) for ch in text)))
+    once = unicodedata.normalize("NFKD", text.translate(_TABLES[script])).translate(_TABLES[script])
     if script == "devanagari":
         for seq, one in _SEQUENCES.items():
             once = once.replace(seq, one)
@@ -63,7 +77,7 @@ def is_plain(text: str | None, script: str) -> bool:
     if text != plain(text, script):
         return False
     home = "DEVANAGARI" if script == "devanagari" else "LATIN"
-    return all(not ch.isalpha() or unicodedata.name(ch, "").startswith(home) for ch in text)
+    return all(unicodedata.name(ch, "").startswith(home) for ch in set(text) if ch.isalpha())
 
 
 def normal_forms(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
@@ -78,7 +92,8 @@ def normal_forms(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFram
     def forms(batches):
         for pdf in batches:
             both = list(zip(pdf.original, pdf.script))
-            yield pd.DataFrame({"row_id": pdf.row_id, "field": pdf.field, "original": pdf.original, "plain": [plain(t, s) for t, s in both], "skeleton": [skeleton(t, s) for t, s in both], "is_plain": [is_plain(t, s) for t, s in both]})
+            bare = [skeleton(t, s) for t, s in both]
+            yield pd.DataFrame({"row_id": pdf.row_id, "field": pdf.field, "original": pdf.original, "plain": [unicodedata.normalize("NFC", b) for b in bare], "skeleton": bare, "is_plain": [is_plain(t, s) for t, s in both]})
 
     return long.mapInPandas(forms, "row_id long, field string, original string, plain string, skeleton string, is_plain boolean")
 
