@@ -80,3 +80,12 @@ def test_syllables_come_back(pairs):
     assert T.to_devanagari(text) == T.to_devanagari_by_syllable(text)
     back = T.to_iast(T.to_devanagari(text))
     assert T.to_devanagari(back) == T.to_devanagari(text)
+
+
+def test_available_release(spark):
+    from versemill.functions.releases import available
+
+    asset = '{"name": "App.APK", "browser_download_url": "https://github.com/x/a.apk", "size": 5, "more": 1}'
+    rows = [f'{{"tag_name": "v1.2.10", "body": "n", "assets": [{{"name": "a.txt"}}, {asset}], "x": 1}}', f'{{"tag_name": "v1.0", "assets": [{asset}]}}', '{"tag_name": "v9", "assets": []}', "no json", None]
+    got = values(spark, lambda c: available(c, F.lit("1.2.9")), rows)
+    assert got[0].version == "1.2.10" and got[0].size == 5 and got[0].notes == "n" and got[1:] == [None] * 4

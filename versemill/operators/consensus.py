@@ -122,3 +122,22 @@ def verdicts(units: DataFrame, align: DataFrame, pages: DataFrame, glossary: Dat
     status = F.when(n < 3, "NAME-LIST").when(F.col("has_prose").isNull(), "TELANG-ABSENT").when(F.col("has_verse").isNull(), "ARNOLD-ABSENT")
     status = status.when((p * 2 >= n) & (v * 2 >= n), "CONSENSUS").when((p * 2 >= n) | (v * 2 >= n), "SINGLE-SOURCE").otherwise("ORPHAN")
     return out.select("id", status.alias("status"), n.alias("total"), p.alias("covered_prose"), v.alias("covered_verse"))
+
+
+def near_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(lemma, term): the first term, by alphabet, within two edits of a word of seven letters or more (the term having six
+    or more), or within one of a word of six (the term having six); words that are terms themselves have no row (JN20, LX9).
+
+    A word within two edits of a term holds one of the term's three parts unchanged, moved by two letters at most: words
+    and terms meet on equal parts, then the distance decides. words(lemma), terms(term); nulls never meet.
+    """
+    w = words.select("lemma").where("length(lemma) >= 6").distinct().join(terms.select(F.col("term").alias("lemma")).distinct(), "lemma", "left_anti")
+    t = terms.select("term").where("length(term) >= 6").distinct()
+    cut = lambda i: F.floor(F.length("term") * i / 3)
+    parts = F.array(*(F.struct(F.lit(i).alias("part"), cut(i).alias("start"), F.substring("term", (cut(i) + 1).cast("int"), (cut(i + 1) - cut(i)).cast("int")).alias("piece")) for i in range(3)))
+    t = t.select("term", F.inline(parts))
+    sizes = F.sequence(F.lit(2), F.greatest(F.floor(F.length("lemma") / 3) + 1, F.lit(2)).cast("int"))
+    spots = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("lemma") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring("lemma", i, n).alias("piece")))))
+    met = w.select("lemma", F.inline(spots)).join(t, "piece").where(F.abs(F.col("at") - 1 - F.col("start")) <= 2).select("lemma", "term").distinct()
+    close = ((F.length("lemma") >= 7) & (F.levenshtein("lemma", "term", 2) >= 0)) | ((F.length("lemma") == 6) & (F.length("term") == 6) & (F.levenshtein("lemma", "term", 1) >= 0))
+    return met.where(close).groupBy("lemma").agg(F.min("term").alias("term"))

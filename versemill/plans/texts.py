@@ -222,6 +222,16 @@ def lemma_expansion(spark, folder):
     return A.expanded(A.lemma_rows(rows, "id", "text"), "id", A.synonym_edges(table(spark, folder, "glossary")))
 
 
+@query(f"""WITH src AS (SELECT chapter, p.text AS text FROM (SELECT chapter, unnest(telang_paras) AS p FROM triptych)), {_lemmas_sql('src', 'chapter', 'text', 'l')}, rend AS (SELECT ch || '/' || rendition || '/' || sent_no AS id, text FROM renderings), {_lemmas_sql('rend', 'id', 'text', 'r')},
+t AS (SELECT DISTINCT lemma AS term FROM r), w AS (SELECT DISTINCT lemma FROM l WHERE length(lemma) >= 6 AND lemma NOT IN (SELECT term FROM t))
+SELECT lemma, min(term) AS term FROM w JOIN t ON (length(lemma) >= 7 AND length(term) >= 6 AND abs(length(lemma) - length(term)) <= 2 AND levenshtein(lemma, term) <= 2) OR (length(lemma) = 6 AND length(term) = 6 AND levenshtein(lemma, term) <= 1) GROUP BY lemma""")
+def fuzzy_lemma_match(spark, folder):
+    """JN20, LX9: words of the scans that clean text has only in a like form."""
+    scans = table(spark, folder, "triptych").select(F.explode("telang_paras").alias("p")).select(F.lit(1).alias("k"), F.col("p.text").alias("text"))
+    clean = table(spark, folder, "renderings").select(F.lit(1).alias("k"), "text")
+    return A.near_terms(A.lemma_rows(scans, "k", "text"), A.lemma_rows(clean, "k", "text").select(F.col("lemma").alias("term")))
+
+
 def _coverage_sql(name: str, source: str) -> str:
     return f"""{name} AS (SELECT o.id, count(*) AS total, count(*) FILTER (WHERE ok) AS covered, coalesce(string_agg(lemma, ' ' ORDER BY lemma) FILTER (WHERE NOT ok), '') AS uncovered FROM (
 SELECT o.id, o.lemma, EXISTS (SELECT 1 FROM {source} s WHERE s.id = o.id AND (s.lemma = o.lemma OR (length(o.lemma) >= 7 AND length(s.lemma) >= 7 AND levenshtein(o.lemma, s.lemma) <= 2))) AS ok FROM ours o) o GROUP BY o.id)"""
