@@ -19,28 +19,28 @@ SPAN, PHRASE = 240, 200
 STEM, SHARD_ROWS = 48, 100
 
 
-def _with_class(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc, rep, n_chars) of each record, rep being the least id with the very same text; and (rep, text) of the classes."""
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, digest, n_chars, text); the digest stands for texts long enough to hold a span."""
     base = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text")).where("doc is not null")
-    base = base.groupBy("doc").agg(F.max("text").alias("text")).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)))
-    # the two digests stand for the text in the shuffle; min() pre-aggregates copies, so a hot class is no hot task
-    keyed = base.withColumn("digest", F.when(F.col("n_chars") >= SPAN, F.sha2("text", 256)).otherwise(F.col("doc").cast("string")))
-    reps = keyed.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
-    members = stored(keyed.select("doc", "digest", "n_chars").join(reps, "digest").select("doc", "rep", "n_chars", "copies"))
-    texts = base.where(F.col("n_chars") >= SPAN).join(members.where("doc = rep").select("doc", "rep"), "doc", "left_semi")
-    return members, texts.select(F.col("doc").alias("rep"), "text")
+    base = base.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)))
+    return base.select("doc", F.when(F.col("n_chars") >= SPAN, F.sha2("text", 256)).alias("digest"), "n_chars", "text")
 
 
 def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        reps, at, hashes = [], [], []
-        for rep, text in zip(pdf.rep, pdf.text):
-            p, h = winnow(text, PHRASE, SPAN - PHRASE + 1)
-            reps.append(np.full(len(p), rep))
-            at.append(p)
-            hashes.append(h.view(np.int64))
-        if reps:
-            yield pd.DataFrame({"rep": np.concatenate(reps), "at": np.concatenate(at), "print": np.concatenate(hashes)})
+        kept = [winnow(t, PHRASE, SPAN - PHRASE + 1) if d is not None else ([], np.empty(0, np.uint64)) for d, t in zip(pdf.digest, pdf.text)]
+        yield pdf[["doc", "digest", "n_chars"]].assign(at=pd.Series([list(p) for p, _ in kept], dtype="object", index=pdf.index), print=pd.Series([list(h.view(np.int64)) for _, h in kept], dtype="object", index=pdf.index))
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    """(doc, digest, n_chars, rep, copies) of each record, rep being the least id with the very same text.
+
+    Only ids, digests and lengths are shuffled; min() and count() pre-aggregate copies, so a hot class is no hot task.
+    """
+    one = prints.groupBy("doc").agg(F.max(F.struct("n_chars", "digest")).alias("x")).select("doc", "x.digest", "x.n_chars")
+    one = one.withColumn("class", F.coalesce("digest", F.col("doc").cast("string")))
+    reps = one.groupBy("class").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+    return stored(one.join(reps, "class").select("doc", "digest", "n_chars", "rep", "copies"))
 
 
 def _occurrences(docs: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
@@ -72,23 +72,32 @@ def _occurrences(docs: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rep": np.concatenate(reps), "at": np.concatenate(at), "span": np.concatenate(spans)})
 
 
-def _recurring_spans(texts: DataFrame) -> DataFrame:
-    """(rep, at, span, holders): every span of SPAN characters that another class holds too; holders counts the classes."""
-    prints = stored(texts.mapInPandas(_prints, "rep long, at long, print long"))
+def _recurring_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The classes; and (rep, at, span, holders, who): every span of SPAN characters that another class holds too.
+
+    One narrow pass over the texts makes the prints. After that only texts that hold a recurring print move, once.
+    """
+    base = _base(docs, id_col, text_col)
+    rows = stored(base.mapInPandas(_prints, "doc long, digest string, n_chars int, at array<int>, print array<bigint>"))
+    members = _classes(rows)
+    reps = members.where("doc = rep and digest is not null").select("doc", "digest")
+    prints = rows.where("digest is not null").join(reps, ["doc", "digest"], "left_semi").select(F.col("doc").alias("rep"), "digest", F.inline(F.arrays_zip("at", "print")))
+    prints = stored(prints)
     recurring = prints.groupBy("print").agg(F.min(F.struct("rep", "at")).alias("first"), F.max("rep").alias("last"))
     recurring = stored(recurring.where("first.rep < last").select("print", "first"))
+    held = stored(prints.join(recurring.select("print"), "print").select("rep", "digest", "print").distinct())
+    holders = stored(held.select("rep", "digest").distinct())
+    texts = base.where("digest is not null").withColumnRenamed("doc", "rep").join(holders, ["rep", "digest"], "left_semi").select("rep", "text")
+    texts = stored(texts.dropDuplicates(["rep"]))
     confirmed = recurring.select("print", F.col("first.rep").alias("rep"), (F.col("first.at") + 1).cast("int").alias("at")).join(texts, "rep")
     confirmed = confirmed.select("print", F.substring("text", F.col("at"), F.lit(PHRASE)).alias("phrase"))
-    held = prints.join(recurring.select("print"), "print").select("rep", "print").distinct()
-    held = stored(held)
-    shards = max(1, held.select("rep").distinct().count() // SHARD_ROWS)
+    shards = max(1, holders.count() // SHARD_ROWS)
     shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")
     wanted = held.select(shard.alias("shard"), "print").distinct().join(confirmed, "print").select("shard", "phrase")
-    routed = texts.join(held.select("rep").distinct(), "rep", "left_semi").select(shard.alias("shard"), "rep", "text")
-    found = routed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(_occurrences, "rep long, at long, span long")
-    found = stored(found)
+    routed = texts.select(shard.alias("shard"), "rep", "text")
+    found = stored(routed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(_occurrences, "rep long, at long, span long"))
     held_by = found.select("span", "rep").distinct().groupBy("span").agg(F.count("*").alias("holders"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).cast("string").alias("who")).where("holders > 1")
-    return found.join(held_by, "span")
+    return members, found.join(held_by, "span")
 
 
 def shared_span_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,10 +109,9 @@ def shared_span_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     automaton, which yields the exact spans around each occurrence. Classes meet on equal spans, one row for each run of
     spans with the same holders, and members take the place of their class at the end. All pairs that exist come out.
 
-    Null, empty and shorter texts are in no pair. A repeated id counts once (its greatest text). Empty tables give no rows.
+    Null, empty and shorter texts are in no pair. A repeated id counts once (its longest text). Empty tables give no rows.
     """
-    members, texts = _with_class(docs, id_col, text_col)
-    spans = _recurring_spans(texts)
+    members, spans = _recurring_spans(docs, id_col, text_col)
     order = Window.partitionBy("rep").orderBy("at")
     lead = spans.withColumns({"before": F.lag("who").over(order), "before_at": F.lag("at").over(order)})
     lead = lead.where("before is null or before <> who or before_at <> at - 1").select("rep", "span", "who")
@@ -124,8 +132,8 @@ def shared_portions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the whole text (of SPAN or more) all of it is shared. linked_classes counts the other texts it shares a span with:
     copies are not expanded. Null and empty texts have no characters and a share of 0.
     """
-    members, texts = _with_class(docs, id_col, text_col)
-    spans = stored(_recurring_spans(texts))
+    members, spans = _recurring_spans(docs, id_col, text_col)
+    spans = stored(spans)
     order = Window.partitionBy("rep").orderBy("at")
     gain = F.least(F.lit(SPAN), F.col("at") - F.coalesce(F.lag("at").over(order), F.lit(-SPAN)))
     covered = spans.select("rep", "at").distinct().withColumn("gain", gain).groupBy("rep").agg(F.sum("gain").alias("covered"))
