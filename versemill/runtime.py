@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Largest side, in bytes, that an operator may mark for broadcast after measuring it.
 BROADCAST_BYTES = 32 << 20
 
+#: The folder made for an application whose session names none; the setting itself cannot be changed once it runs.
+_local: dict[str, str] = {}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
@@ -20,10 +23,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a fresh local one where the session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="versemill-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="versemill-")
+    return _local[app]
 
 
 def stored(df: DataFrame) -> DataFrame:
