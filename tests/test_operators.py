@@ -150,3 +150,10 @@ def test_rendered_pack(spark):
     empty = spark.createDataFrame([], "id string, note string")
     text = packs.rendered(u, spark.createDataFrame([], "ch int, title string"), empty, spark.createDataFrame([], "pack_id string, status string")).first().text
     assert "# Pack ch01-1" in text and "**pending**" in text and "**Meaning:** m2" in text and "Takeaway" not in text
+
+
+def test_near_terms(spark):
+    words = spark.createDataFrame([("adhibhilta",), ("lotuss",), ("lotus",), ("kettles",), ("garden",), ("garten",), (None,)], "lemma string")
+    terms = spark.createDataFrame([("adhibhuta",), ("lotust",), ("garden",), ("kettle",), ("nothing",), (None,)], "term string")
+    got = {r.lemma: r.term for r in A.near_terms(words, terms).collect()}
+    assert got == {"adhibhilta": "adhibhuta", "lotuss": "lotust", "kettles": "kettle", "garten": "garden"}
