@@ -16,7 +16,8 @@ from versemill.sources.sinks import upsert
 
 
 def live_section_counts(reads: DataFrame, units: DataFrame) -> DataFrame:
-    """(ch, reads) for complete mode: the whole result comes again with each change (RX1, RX2). Each id of a read counts once."""
+    """(ch, reads) for complete mode: the whole result comes again with each change (RX1, RX2). Each id of a read counts once,
+    however late it comes again, so the state keeps all ids; put a watermark on the stream where lateness is bounded."""
     once = reads.where("verse_id is not null").dropDuplicates(["progress_id"])
     return once.join(units.select(F.col("id").alias("verse_id"), "ch"), "verse_id").groupBy("ch").agg(F.count("*").alias("reads"))
 
