@@ -111,6 +111,18 @@ def test_witness_verdicts():
     assert witness.joint("tatra", "iva") == "tatreva" and witness.joint("naraḥ", "gacchati") == "narogacchati" and witness.joint("tu", "pāṇḍava") is None
 
 
+def test_witness_copies_with_headings(spark):
+    cut = witness.reading_halves
+    assert cut("vyāsa uvāca\nyogaḥ |\nkarma", "व्यास") == ("yogaḥ |", "karma") == cut("vyāsa uvаса\nyogaḥ |\nkarma", "व्यास")
+    assert cut("a\nb\nc\nd", None) == ("a b", "c d") and cut("vyāsa uvāca\na\nb\nc\nd", None) == ("a b", "c d")
+    assert cut("yogaḥ", None) == ("yogaḥ", None) == cut("vyāsa uvāca\nyogaḥ", None) and cut(None, None) == (None, None) and cut("a\nb\nc", None) is None
+    ours = spark.createDataFrame([(k, "व्यास उवाच\nयोगः ।\nकर्म") for k in "abcde"], "id string, devanagari string")
+    copies = [("a", "व्यास", "vyāsa uvāca\nyogaḥ |\nkarma"), ("b", "व्यास", "vyāsa uvāca\nyogaḥ |\nkāma"), ("c", None, "yogaḥ\nkarma"), ("d", None, "yogaḥ\nkarma\nkarma")]
+    got = {r.id: (r.status, r.detail) for r in witness.witness_diff(ours, spark.createDataFrame(copies, "id string, speaker string, iast string")).collect()}
+    assert {k: s for k, (s, _) in got.items()} == {"a": "MATCH", "b": "DIVERGENCE", "c": "MATCH", "d": "DIVERGENCE", "e": "MISSING"}
+    assert got["b"][1].startswith("@1") and got["d"][1] == "no two halves in the reading"
+
+
 ALIGN = "chapter int, records array<struct<id:string,telang:array<struct<para:string,anchors:array<string>>>,arnold:string,arnold_shared:boolean,notes:string>>, dropped array<struct<para:string,reason:string>>"
 PAGES = "chapter int, telang_paras array<struct<text:string,is_footnote:boolean>>, arnold string"
 

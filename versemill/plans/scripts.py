@@ -54,9 +54,8 @@ def engine_differential(spark, folder):
 
 
 def _readings(spark, folder):
-    copy = table(spark, folder, "triptych").select(F.explode("sanskrit").alias("s")).select("s.id", "s.speaker", F.split("s.iast", "\n").alias("lines"))
-    parts = copy.select("id", "speaker", F.try_element_at("lines", F.lit(1)).alias("first"), F.try_element_at("lines", F.lit(2)).alias("second"))
-    return parts.groupBy("id").agg(F.min("speaker").alias("speaker"), F.min("first").alias("first"), F.min("second").alias("second"))
+    copy = table(spark, folder, "triptych").select(F.explode("sanskrit").alias("s")).select("s.id", "s.speaker", "s.iast")
+    return copy.groupBy("id").agg(F.min("speaker").alias("speaker"), F.min("iast").alias("iast"))
 
 
 @query()
