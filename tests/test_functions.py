@@ -54,6 +54,22 @@ def test_numerals(spark):
     assert values(spark, C.native_digits, [109, None], "int") == ["१०९", None]
 
 
+def test_numerals_have_no_end(spark):
+    def numeral(n):
+        out = ""
+        for value, sign in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+            out, n = out + sign * (n // value), n % value
+        return out
+
+    numbers = [*range(1, 4100), 12_345]
+    numerals = [numeral(n) for n in numbers]
+    assert [C.roman(n) for n in numbers] == numerals == values(spark, C.roman_column, numbers, "int")
+    assert values(spark, C.roman_column, [0, -5, None], "int") == [None] * 3
+    read = lambda rows: values(spark, lambda c: C.read_roman(c, most=None), rows)
+    assert [x for x in zip(numbers, read(numerals)) if x[0] != x[1]] == [(1000, 3)]  # M alone is a misread III
+    assert read(["XII", "xNI", "VIR", "XXIlI", "LlV", "Liv", "XXlX", "XXXX", "IC", "QQ", "", None]) == [12, 13, 7, 23, 54, 54, 29, None, None, None, None, None]
+
+
 def test_markup(spark):
     assert values(spark, C.without_markup, ["a<ref>x</ref> b <math>\\mbox{Dh}ri</math><br/>c", None]) == ["a b Dhri c", None]
     assert values(spark, C.poems, ["x<poem>a\nb</poem>y<poem>c</poem>"]) == ["a\nb\nc"]

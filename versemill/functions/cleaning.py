@@ -66,33 +66,42 @@ def looks_footnote(text: Column) -> Column:
     return s.rlike(FOOTNOTE_MARK) | ((F.length(s) < 150) & s.rlike(r",?[ \t\n]+pp?\.[ \t\n]*[0-9]")) | s.rlike(FOOTNOTE_OPENER)
 
 
-_ROMAN = ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
+# fixed values: what stands for 0..9 of hundreds, tens and ones; thousands are so many M
+_PLACES = tuple((10**k, ["", i, i * 2, i * 3, i + v, v, v + i, v + i * 2, v + i * 3, i + x]) for k, i, v, x in ((2, "C", "D", "M"), (1, "X", "L", "C"), (0, "I", "V", "X")))
+_NUMERAL = "^(M*)(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
 
 def roman(n: int) -> str:
-    """A small number as a numeral (FN-S5)."""
-    out = ""
-    for value, sign in ((100, "C"), (90, "XC"), (50, "L"), (40, "XL"), *_ROMAN):
-        out += sign * (n // value)
-        n %= value
-    return out
+    """A number as a numeral (FN-S5)."""
+    return "M" * (n // 1000) + "".join(signs[n // value % 10] for value, signs in _PLACES)
 
 
-def roman_column(n: Column, most: int = 199) -> Column:
-    """The numeral of 1..most; null beyond."""
-    return F.try_element_at(F.lit([roman(i) for i in range(1, most + 1)]), F.when((n >= 1) & (n <= most), n.cast("int")))
+def roman_column(n: Column) -> Column:
+    """The numeral of any number from 1; null below."""
+    places = [F.element_at(F.lit(signs), (F.floor(n / value) % 10 + 1).cast("int")) for value, signs in _PLACES]
+    return F.when(n >= 1, F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), *places))
+
+
+def roman_value(s: Column) -> Column:
+    """The number of a well-formed numeral of any length, or null."""
+    places = [(F.array_position(F.lit(signs), F.regexp_extract(s, _NUMERAL, k)) - 1) * value for k, (value, signs) in enumerate(_PLACES, start=2)]
+    return F.when(s.rlike(_NUMERAL) & (s != ""), sum(places, F.length(F.regexp_extract(s, _NUMERAL, 1)) * 1000).cast("int"))
 
 
 # fixed values: numerals as scans misread them
 _MISREAD_ROMAN = {"VIR": 7, "XIR": 12, "XNI": 13, "RV": 4, "M": 3, "XVIIR": 18}
 
 
-def read_roman(raw: Column, most: int = 18) -> Column:
-    """The number of a numeral as scanned, 1..most, or null (FN-S6)."""
-    table = {roman(i): i for i in range(1, most + 1)}
+def read_roman(raw: Column, most: int | None = 18) -> Column:
+    """The number of a numeral as scanned, 1..most, or null (FN-S6); with no most, numerals of any size.
+
+    Beyond the reference's 18 no letter is dropped: what is no numeral as it stands is read in capitals, then with l for I.
+    """
+    table = {roman(i): i for i in range(1, (most or 18) + 1)}
     known = F.create_map(*(F.lit(x) for kv in {**table, **_MISREAD_ROMAN}.items() for x in kv))
     misread = F.create_map(*(F.lit(x) for kv in _MISREAD_ROMAN.items() for x in kv))
-    return F.coalesce(F.try_element_at(misread, F.upper(raw)), F.try_element_at(known, F.regexp_replace(raw, "[^IVXLCDM]", "")))
+    small = F.coalesce(F.try_element_at(misread, F.upper(raw)), F.try_element_at(known, F.regexp_replace(raw, "[^IVXLCDM]", "")))
+    return small if most else F.coalesce(small, *(roman_value(x) for x in (raw, F.upper(raw), F.translate(raw, "l", "I"))))
 
 
 def read_number(raw: Column) -> Column:

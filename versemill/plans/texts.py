@@ -133,7 +133,7 @@ def paragraph_coverage(spark, folder):
 
 @query("SELECT n, CASE WHEN n BETWEEN 1 AND 199 THEN (['','C'])[n // 100 + 1] || (['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'])[(n % 100) // 10 + 1] || (['','I','II','III','IV','V','VI','VII','VIII','IX'])[n % 10 + 1] END AS numeral, translate(n::VARCHAR, '0123456789', '०१२३४५६७८९') AS native FROM (SELECT DISTINCT n FROM chapters)")
 def numerals(spark, folder):
-    """FN-S5, FN-S9: chapter numbers as numerals and in native digits."""
+    """FN-S5, FN-S9: chapter numbers as numerals and in native digits; the SQL has numerals up to 199."""
     n = F.col("n")
     return table(spark, folder, "chapters").select("n").distinct().select("n", C.roman_column(n).alias("numeral"), C.native_digits(n).alias("native"))
 
@@ -143,10 +143,10 @@ r AS (SELECT * FROM (VALUES ('VIR', 7), ('XIR', 12), ('XNI', 13), ('RV', 4), ('M
 SELECT h.raw, h.num, coalesce(r.b, k.b, r2.b)::INT AS chapter, CASE WHEN regexp_matches(translate(regexp_replace(h.num, '[ .]', '', 'g'), 'lIO', '110'), '^[0-9]{1,9}$') THEN translate(regexp_replace(h.num, '[ .]', '', 'g'), 'lIO', '110')::INT END AS verse, count(*) AS n
 FROM h LEFT JOIN r ON upper(h.raw) = r.a LEFT JOIN k ON regexp_replace(h.raw, '[^IVXLCDM]', '', 'g') = k.a LEFT JOIN r r2 ON regexp_replace(h.raw, '[^IVXLCDM]', '', 'g') = r2.a GROUP BY ALL""")
 def running_heads(spark, folder):
-    """SEG4, FN-S6, FN-S7: chapter heads in the scans as read, with the numbers they stand for."""
+    """SEG4, FN-S6, FN-S7: chapter heads in the scans as read, with the numbers they stand for; the SQL has them up to XVIII."""
     lines = table(spark, folder, "triptych").select(F.explode("telang_paras").alias("p")).select(F.explode(F.split("p.text", "\n")).alias("line"))
     heads = lines.where(F.col("line").rlike("^(?i:chapter) +[A-Za-z]+")).select(F.regexp_extract("line", "^(?i:chapter) +([A-Za-z]+)", 1).alias("raw"), F.nullif(F.regexp_extract("line", "^(?i:chapter) +([A-Za-z]+), *([0-9lOI. ]{1,8})", 2), F.lit("")).alias("num"))
-    return heads.groupBy("raw", "num").agg(F.count("*").alias("n")).select("raw", "num", C.read_roman(F.col("raw")).alias("chapter"), C.read_number(F.col("num")).alias("verse"), "n")
+    return heads.groupBy("raw", "num").agg(F.count("*").alias("n")).select("raw", "num", C.read_roman(F.col("raw"), most=None).alias("chapter"), C.read_number(F.col("num")).alias("verse"), "n")
 
 
 _CODES = [0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD, 0x2060, 0x34F, 0x200E, 0x200F, 0x180E]
