@@ -169,3 +169,12 @@ def test_near_terms(spark):
     terms = spark.createDataFrame([("adhibhuta",), ("lotust",), ("garden",), ("kettle",), ("nothing",), (None,)], "term string")
     got = {r.lemma: r.term for r in A.near_terms(words, terms).collect()}
     assert got == {"adhibhilta": "adhibhuta", "lotuss": "lotust", "kettles": "kettle", "garten": "garden"}
+
+
+def test_near_terms_after_all_double_deletions(spark):
+    terms = ["abcdefghijklmnopqrstu"[:n].translate({ord(c): c.upper() if n % 2 else c for c in "abcdefghijklmnopqrstu"}) for n in range(6, 22, 5)] + ["abcdefghij", "ABCDEFGHIJKLM", "nopqrstuvwxyzabc", "NOPQRSTUVWXYZABCDEF"]
+    lost = {t[:i] + t[i + 1 : j] + t[j + 1 :] for t in terms for i in range(len(t)) for j in range(i + 1, len(t))} - set(terms)
+    rows = [(w, t) for w in lost if len(w) >= 7 for t in terms if abs(len(w) - len(t)) <= 2]
+    near = spark.createDataFrame(rows, "lemma string, term string").where("levenshtein(lemma, term) <= 2").groupBy("lemma").agg(F.min("term").alias("term"))
+    got = A.near_terms(spark.createDataFrame([(w,) for w in lost if len(w) >= 7], "lemma string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert near.count() > 400 and sorted(got.collect()) == sorted(near.collect())

@@ -136,7 +136,7 @@ def near_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     cut = lambda i: F.floor(F.length("term") * i / 3)
     parts = F.array(*(F.struct(F.lit(i).alias("part"), cut(i).alias("start"), F.substring("term", (cut(i) + 1).cast("int"), (cut(i + 1) - cut(i)).cast("int")).alias("piece")) for i in range(3)))
     t = t.select("term", F.inline(parts))
-    sizes = F.sequence(F.lit(2), F.greatest(F.floor(F.length("lemma") / 3) + 1, F.lit(2)).cast("int"))
+    sizes = F.sequence(F.lit(2), (F.floor((F.length("lemma") + 2) / 3) + 1).cast("int"))  # of a term two letters longer
     spots = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("lemma") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring("lemma", i, n).alias("piece")))))
     met = w.select("lemma", F.inline(spots)).join(t, "piece").where(F.abs(F.col("at") - 1 - F.col("start")) <= 2).select("lemma", "term").distinct()
     close = ((F.length("lemma") >= 7) & (F.levenshtein("lemma", "term", 2) >= 0)) | ((F.length("lemma") == 6) & (F.length("term") == 6) & (F.levenshtein("lemma", "term", 1) >= 0))
