@@ -94,6 +94,13 @@ def test_moved_sentence_is_found():
     assert {(i, j) for i, j, _ in found} == {(0, 1), (1, 2), (2, 0)}
 
 
+def test_moved_half_rendered_by_two_sentences():
+    weight = {e: {f: 1.0} for e, f in zip("abcdefghijkl", "ABCDEFGHIJKL")}
+    halves = [["a", "b", "c", "d"], ["e", "f", "g"], ["h", "i", "j"]]
+    found = A.lexical_alignment(halves, [0, 1, 2], [list("EFG"), list("HIJ"), list("ABC"), list("BCD"), list("XYZ")], weight)
+    assert {(i, j) for i, j, _ in found} == {(1, 0), (2, 1), (0, 2), (0, 3)}
+
+
 def test_stems():
     assert A.verse_halves("योगेन कर्मस्य ।\nसञ्जय उवाच\nतद्वगं च", None) == [["yog", "karm"], ["tadvag"]]
     assert A.verse_halves(None, None) == [] and A.verse_halves("", "rāmasya |\nca tu") == [["rām"]]

@@ -6,6 +6,7 @@ dynamic programming with lexical scores, which also finds what was moved.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -214,7 +215,8 @@ def lexical_alignment(halves: list[list[str]], owners: list[int], sentences: lis
     """(half, sentence, share rendered): a monotone path of best total score, then what was moved or rendered twice.
 
     A half verse has at most one sentence on the path, a sentence any number of halves. A sentence's words that no half on
-    the path accounts for are then offered to all halves of the chapter: those not yet rendered first, then near ones.
+    the path accounts for are then offered to all halves of the chapter: those not yet rendered first, then near ones; any
+    half may take several.
     """
     n, m = len(halves), len(sentences)
     holders: dict[str, list[int]] = defaultdict(list)
@@ -269,10 +271,19 @@ def lexical_alignment(halves: list[list[str]], owners: list[int], sentences: lis
             used[j].update(f for f, _ in free.values())
         else:
             del path[i]
-    offers = sorted(((g + 0.15 * (i not in path) - 0.1 * abs(i / max(1, n) - j / max(1, m)), i, j) for i in range(n) for j, g in gains[i].items() if path.get(i) != j), reverse=True)
-    rendered = set(path)
-    for value, i, j in offers:
-        if i in rendered and i not in path:
+
+    def near(i: int, j: int, g: float) -> float:
+        return g - 0.1 * abs(i / max(1, n) - j / max(1, m))
+
+    offers = [(-near(i, j, g) - 0.15 * (i not in path), -i, -j) for i in range(n) for j, g in gains[i].items() if path.get(i) != j]
+    heapq.heapify(offers)
+    rendered, late = set(path), {(i, j) for i in path for j in gains[i]}  # late: offers without the preference of an unrendered half
+    while offers:
+        value, i, j = heapq.heappop(offers)
+        i, j = -i, -j
+        if i in rendered and (i, j) not in late:
+            late.add((i, j))
+            heapq.heappush(offers, (value + 0.15, -i, -j))
             continue
         free = {e: (f, q) for e, (f, q) in rows[i][j].items() if f not in used[j]}
         share = score(i, free)
