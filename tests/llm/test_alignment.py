@@ -75,6 +75,29 @@ def test_large_table_takes_the_join(spark, monkeypatch):
     assert len(one ^ two) <= 0.1 * len(one | two)
 
 
+def test_paths_of_training_agree(spark, monkeypatch):
+    v, s, _ = corpus(random.Random(2), chapters=3, verses=6)
+    monkeypatch.setattr(A, "LEAST", 0.05)  # many counts of a single batch are below
+
+    def all_rows():
+        return [{tuple(x)[:-1]: x[-1] for x in df.collect()} for df in A.aligned(*frames(spark, v, s))]
+
+    one = all_rows()
+    monkeypatch.setattr(A, "BROADCAST_BYTES", 1)
+    two = all_rows()
+    for x, y in zip(one, two):
+        assert set(x) == set(y) and all(abs(x[k] - y[k]) < 1e-6 for k in x)
+
+
+def test_path_reaches_far_in_a_large_chapter():
+    n = 4100
+    weight = {f"a{k}": {f"A{k}": 0.52} for k in range(2 * n)}  # a share that the path takes and an offer does not
+    halves = [[f"a{2 * k}", f"a{2 * k + 1}"] for k in range(n)]
+    # the first half is the only one rendered, by the last sentence: the path itself has to reach it
+    found = A.lexical_alignment(halves, list(range(n)), [[] for _ in range(n - 1)] + [["A0", "A1"]], weight)
+    assert [(i, j) for i, j, _ in found] == [(0, n - 1)]
+
+
 def test_empty(spark):
     v, s, _ = corpus(random.Random(2), chapters=1, verses=2)
     for a, b in ((v, []), ([], s), ([], [])):

@@ -22,7 +22,7 @@ from versemill.runtime import BROADCAST_BYTES, stored
 
 #: Iterations of each training, trainings (the second on realigned pairs), and the least probability a table keeps.
 ITERATIONS, TRAININGS, FLOOR = 5, 2, 1e-3
-#: Cells or pairs that one batch of beads may open at once, and the least count of a pair in it that is handed on.
+#: Cells or pairs that one batch of beads may open at once, and the least count, over all beads, of a pair that is kept.
 WIDEST, LEAST = 8_000_000, 1e-4
 #: Least p(word | stem) and p(stem | word) of a dictionary entry; share of a half verse a sentence must render.
 FORWARD, BACKWARD, RENDERED, MOVED = 0.02, 0.12, 0.5, 0.55
@@ -30,8 +30,6 @@ FORWARD, BACKWARD, RENDERED, MOVED = 0.02, 0.12, 0.5, 0.55
 AHEAD = 0.01
 #: Largest cost of a length bead to count as confident.
 CONFIDENT = 3.0
-#: Cells of a table of scores above which only a band around the diagonal is searched, and half its width.
-CELLS, BAND = 16_000_000, 2000
 # fixed values: endings of the inflected words, longest first
 _ENDINGS = "iṣyanti iṣyati iṣyate iṣyatu ebhyaḥ ebhiḥ ānāṃ antu anti ante eyuḥ atāṃ eta etu atu ati ate ata asya ena āya āni aiḥ eṣu āḥ aḥ aṃ ān āt au iṃ iḥ uḥ uṃ e ā a i u"
 # fixed values: particles, and the word that ends a speaker's heading
@@ -166,7 +164,7 @@ def _pair_counts(source: list[np.ndarray], target: list[np.ndarray], table: pd.D
     share = odds.ravel()[cell]
     share /= np.repeat(np.add.reduceat(share, begin), blocks)
     counts = np.bincount(cell, share, odds.size)
-    kept = np.flatnonzero(counts > LEAST)
+    kept = np.flatnonzero(counts)
     return pd.DataFrame({"e": stem_names[kept // wide], "f": word_names[kept % wide], "c": counts[kept]})
 
 
@@ -194,7 +192,7 @@ def _expected(beads: DataFrame, table: DataFrame | None) -> DataFrame:
         pairs = pairs.select("bead", "at", "f", F.explode("source").alias("e")).join(table, ["e", "f"], "left").withColumn("o", F.coalesce("p", F.lit(1e-7)))
         sums = pairs.groupBy("bead", "at").agg(F.sum("o").alias("total"), F.collect_list(F.struct("e", "f", "o")).alias("all"))
         partial = sums.select("total", F.explode("all").alias("x")).select("x.e", "x.f", (F.col("x.o") / F.col("total")).alias("c"))
-    return stored(partial.groupBy("e", "f").agg(F.sum("c").alias("c")))
+    return stored(partial.groupBy("e", "f").agg(F.sum("c").alias("c")).where(f"c > {LEAST}"))
 
 
 def _train(beads: DataFrame) -> DataFrame:
@@ -237,15 +235,13 @@ def lexical_alignment(halves: list[list[str]], owners: list[int], sentences: lis
         return sum(links[e][1] for e in set(halves[i]) if e in links) / max(2, len(set(halves[i])))
 
     gains = [{j: g for j, links in row.items() if len(links) > 1 and (g := score(i, links)) > RENDERED} for i, row in enumerate(rows)]
-    wide = n * m > CELLS
     best, back = np.zeros(m + 1), []
     for i in range(n):
-        lo, hi = (max(0, i * m // n - BAND), min(m, i * m // n + BAND)) if wide else (0, m)
         new = best.copy()
         taken = {}
         for j, g in gains[i].items():
             stay, fresh = best[j + 1] + g - RENDERED, best[j] + g - RENDERED + AHEAD
-            if lo <= j < hi and max(stay, fresh) > new[j + 1]:
+            if max(stay, fresh) > new[j + 1]:
                 new[j + 1] = max(stay, fresh)
                 taken[j + 1] = fresh >= stay
         top = np.maximum.accumulate(new)
