@@ -28,6 +28,11 @@ def test_spellings_of_one_id(spark):
     assert found(spark, [("1:2", 1, None)], [(1, None, 5), (2, "", 5), (3, "  ", 5)]) == []
 
 
+def test_digits_of_the_supplementary_planes(spark):
+    same = ["𝟏:𝟐", "𑁧:𑁨", "𑄷:𑄸", "0𝟙 - 𝟚"]
+    assert found(spark, [("1:2", 1, None)], [(i, v, 5) for i, v in enumerate([*same, "𝟏:𝟑"])]) == [(len(same), "𝟏:𝟑")]
+
+
 def test_time_of_the_record(spark):
     parents = [("1:1", 5, 10), ("1:1", 5, 10), ("1:1", 20, None), ("1:2", None, 7), ("1:3", 9, 9)]
     kids = [(1, "1:1", 4), (2, "1:1", 5), (3, "1:1", 9), (4, "1:1", 10), (5, "1:1", 15), (6, "1:1", 20), (7, "1:1", None), (8, "1:2", 1), (9, "1:2", 7), (10, "1:3", 9), (11, "1:9", None), (12, "1:3", None)]

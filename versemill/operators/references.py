@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 ROWS_PER_SALT = 200_000
 HOT_KEYS = 256
 
-_DIGITS = [chr(c) for c in range(0x80, 0x10000) if unicodedata.decimal(chr(c), None) is not None]
+_DIGITS = [chr(c) for c in range(0x80, 0x10000) if unicodedata.decimal(chr(c), None) is not None]  # as the SQL has them
+_ALL_DIGITS = _DIGITS + [chr(c) for c in range(0x10000, sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) is not None]
 
 
 def same_key(raw: Column) -> Column:
@@ -20,7 +22,7 @@ def same_key(raw: Column) -> Column:
     Spaces, invisible format characters, leading zeros, the script or width of digits and the sign between the numbers
     make no difference. A text of any other shape is its own key (without spaces). Null or blank gives null.
     """
-    plain = F.translate(raw, "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS))
+    plain = F.translate(raw, "".join(_ALL_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _ALL_DIGITS))
     plain = F.regexp_replace(plain, r"[\s\p{Z}\p{Cf}\p{Cc}]+", "")
     two = r"^0*([0-9]+)[^\p{L}\p{N}]+0*([0-9]+)$"
     parts = F.concat_ws(":", F.regexp_extract(plain, two, 1), F.regexp_extract(plain, two, 2))
