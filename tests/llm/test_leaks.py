@@ -60,6 +60,16 @@ def test_against_brute_force(spark):
     assert set(report) == {*range(12), 50, 51} and report[50] == 0
 
 
+def test_short_items(spark):
+    tiny = "a b c d e f g h i j k l m n"
+    items = {1: "red fox", 2: "the owl sees a cat", 3: "the owl sees a mole", 4: tiny}
+    filler = " ".join(f"word{i} thing{i * 7}" for i in range(20))
+    docs = [(1, f"{filler} red fox {filler}"), (2, f"{filler} bored foxes {filler}"), (3, f"{filler} The owl sees a cat! {filler}"), (4, f"{filler} the owl sees a mole. {filler}")]
+    docs += [(5, f"{filler} {' '.join(tiny.split()[1:13])} {filler}"), (6, f"{filler} a b X d e f X h i j X l m n {filler}"), (7, f"{filler} {' '.join(tiny.split()[:8])} {filler}")]
+    found = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (3, 2), (4, 3), (5, 4), (6, 4)}
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert leaked_items(docs, items).count() == 0

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm.fingerprints import winnow
+from versemill.llm.fingerprints import gram_hashes, winnow
 from versemill.llm.forms import _LATIN
 from versemill.runtime import small, stored
 
@@ -46,6 +46,31 @@ def letters(text: str | None) -> tuple[str, list[int]]:
     return "".join(out), starts
 
 
+def seed(item: tuple[str, list[int]]) -> tuple[int, bool]:
+    """Letters of the grams that find every leak of the item, and whether all its grams are needed: no window may be skipped
+    where a leak can keep fewer than GRAM + WINDOW - 1 letters unbroken. An item of under WORDS words stands whole."""
+    t, begins = item
+    sizes = [b - a for a, b in zip(begins, [*begins[1:], len(t)])]
+    n, sure = len(sizes), GRAM + WINDOW - 1
+
+    def breaks(most: int) -> bool:
+        """Whether REPLACED words can be chosen so that no run between them has more letters."""
+        cuts = run = 0
+        for size in sizes:
+            run += size
+            if run > most:
+                cuts, run = cuts + 1, 0
+        return cuts <= REPLACED
+
+    if n < WORDS:
+        least = min(len(t), sure)
+    else:
+        least = min(sure, *(sum(sizes[i : i + WORDS]) for i in range(n - WORDS + 1)))
+        if breaks(sure - 1):
+            least = min(least, next(k for k in range(1, sure) if breaks(k)))
+    return (GRAM, False) if least >= sure else (max(1, min(GRAM, least)), True)
+
+
 def holds(doc: tuple[str, list[int]], item: tuple[str, list[int]]) -> bool:
     """Whether the document holds WORDS whole words of the item in a row, or all of it with at most REPLACED replaced."""
     d, bounds = doc[0], sorted({*doc[1], len(doc[0])})
@@ -54,6 +79,8 @@ def holds(doc: tuple[str, list[int]], item: tuple[str, list[int]]) -> bool:
     n = len(begins)
     if not n:
         return False
+    gram, _ = seed(item)
+    short = n < WORDS and len(t) < GRAM
     words = [t[a:b] for a, b in zip(begins, ends)]
     after: dict[int, list[int]] = {}
 
@@ -79,11 +106,13 @@ def holds(doc: tuple[str, list[int]], item: tuple[str, list[int]]) -> bool:
         return any(reach(i - 1, p, -1, k) and reach(j, q, 1, REPLACED - k) for k in range(REPLACED + 1))
 
     done: set[tuple[int, int]] = set()
-    for at in range(0, len(t) - GRAM + 1):
-        p = d.find(t[at : at + GRAM])
+    for at in range(0, len(t) - gram + 1):
+        p = d.find(t[at : at + gram])
         while p >= 0:
-            lo, hi, shift = at, at + GRAM, p - at
-            if not any(a <= at < b for a, b in ((x >> 20, x & 0xFFFFF) for s, x in done if s == shift)):
+            lo, hi, shift = at, at + gram, p - at
+            if short and (p not in doc[1] or p + gram not in bounds):  # so few letters count as whole words only
+                pass
+            elif not any(a <= at < b for a, b in ((x >> 20, x & 0xFFFFF) for s, x in done if s == shift)):
                 while lo and lo + shift and t[lo - 1] == d[lo + shift - 1]:
                     lo -= 1
                 while hi < len(t) and hi + shift < len(d) and t[hi] == d[hi + shift]:
@@ -93,13 +122,27 @@ def holds(doc: tuple[str, list[int]], item: tuple[str, list[int]]) -> bool:
                 j = int(np.searchsorted(ends, hi, "right"))
                 if j - i >= min(WORDS, n) or j > i and whole(i, j, begins[i] + shift, ends[j - 1] + shift):
                     return True
-            p = d.find(t[at : at + GRAM], p + 1)
+            p = d.find(t[at : at + gram], p + 1)
     return False
 
 
-def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _item_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for item in map(letters, pdf.text):
+            gram, every = seed(item)
+            found = gram_hashes(item[0], gram) if every else winnow(item[0], GRAM, WINDOW)[1]
+            rows.append((gram if every else 0, np.unique(found.view(np.int64))))
+        yield pd.DataFrame({"id": pdf.id, "gram": [g for g, _ in rows], "prints": [x for _, x in rows]})
+
+
+def _prints(batches: Iterator[pd.DataFrame], grams: list[int]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf.id, "prints": [np.unique(winnow(letters(t)[0], GRAM, WINDOW)[1].view(np.int64)) for t in pdf.text]})
+        rows = []
+        for text in pdf.text:
+            t = letters(text)[0]
+            rows.append(np.unique(np.concatenate([winnow(t, GRAM, WINDOW)[1], *(gram_hashes(t, g) for g in grams)]).view(np.int64)))
+        yield pd.DataFrame({"id": pdf.id, "prints": rows})
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,14 +166,18 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
 
     Both sides keep the least hash of each WINDOW of GRAM-letter grams over text reduced to its letters; equal prints make
     candidates, which are extended in the texts. The items' prints are broadcast only after their size is measured. Null
-    and empty texts hold nothing; an item of under 12 words must stand whole. Repeated ids and rows give one row.
+    and empty texts hold nothing; an item of under 12 words must stand whole, one of under GRAM letters as whole words of
+    the document. Items of which a leak may keep fewer than 24 letters in a row meet the documents by all their grams of
+    that many letters instead. Repeated ids and rows give one row.
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[doc_text].alias("text")).where("doc_id is not null and text is not null")
     items = items.select(items[item_id].cast("long").alias("item_id"), items[item_text].alias("item")).where("item_id is not null and item is not null")
     schema = "id long, prints array<bigint>"
-    test = items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInPandas(_prints, schema).select(F.col("id").alias("item_id"), F.explode("prints").alias("print"))
-    test = small(stored(test.distinct()))
-    train = docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(_prints, schema).select(F.col("id").alias("doc_id"), F.explode("prints").alias("print"))
+    test = items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInPandas(_item_prints, "id long, gram int, prints array<bigint>").select(F.col("id").alias("item_id"), "gram", F.explode("prints").alias("print"))
+    test = stored(test.distinct())
+    grams = sorted(r.gram for r in test.where("gram > 0").select("gram").distinct().collect())  # at most GRAM lengths, of short items
+    test = small(test.select("item_id", "print"))
+    train = docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(lambda batches: _prints(batches, grams), schema).select(F.col("id").alias("doc_id"), F.explode("prints").alias("print"))
     candidates = stored(train.join(test, "print").select("doc_id", "item_id").distinct())
     pairs = docs.join(candidates, "doc_id").join(items, "item_id").sortWithinPartitions("doc_id")
     return pairs.select("doc_id", "item_id", "text", "item").mapInPandas(_confirm, "doc_id long, item_id long").distinct()
