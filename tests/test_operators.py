@@ -157,6 +157,14 @@ def test_glossary_leaks_by_substring(spark):
     assert [(r.id, r.term) for r in quality.glossary_leaks(d, "id", "text", g).collect()] == [(1, "vanta")]
 
 
+def test_glossary_leaks_of_terms_of_several_runs(spark):
+    g = spark.createDataFrame([("kuru kshetra", "field"), ("go-pala", "herdsman"), ("d'or", "gold"), ("no2", "second"), ("108", "beads")], "term string, rendering string")
+    d = spark.createDataFrame([(1, "On Kuru Kshetras"), (2, "kshetra of kuru"), (3, "a Go-pala"), (4, "gopala"), (5, "lad'or"), (6, "No2"), (7, "no 2"), (8, "x1080"), (9, "108 beads"), (10, "the go-pala, a herdsman"), (11, None)], "id long, text string")
+    want = sorted((t.id, x.term) for t in d.collect() for x in g.collect() if t.text and x.term in t.text.lower() and x.rendering not in t.text.lower())
+    assert want == [(1, "kuru kshetra"), (3, "go-pala"), (5, "d'or"), (6, "no2"), (8, "108")]
+    assert sorted((r.id, r.term) for r in quality.glossary_leaks(d, "id", "text", g).collect()) == want
+
+
 def test_rendered_pack(spark):
     u = spark.createDataFrame([(1, n, f"1:{n}", None, "द", "d", f"m{n}", " ") for n in (1, 2)], "ch int, n int, id string, speaker string, devanagari string, iast string, meaning string, takeaway string")
     empty = spark.createDataFrame([], "id string, note string")
