@@ -2,7 +2,7 @@
 
 import random
 
-from versemill.llm.leaks import holds, leak_report, leaked_items, letters
+from versemill.llm.leaks import holds, leak_report, leaked_items, letters, replaceable
 
 ITEM = "Three times a weapon covers this cord, and each time the endless tether is spared. Of four streams the needy one throws the bosom, the others only drag a far-off flame."
 
@@ -67,7 +67,49 @@ def test_short_items(spark):
     docs = [(1, f"{filler} red fox {filler}"), (2, f"{filler} bored foxes {filler}"), (3, f"{filler} The owl sees a cat! {filler}"), (4, f"{filler} the owl sees a mole. {filler}")]
     docs += [(5, f"{filler} {' '.join(tiny.split()[1:13])} {filler}"), (6, f"{filler} a b X d e f X h i j X l m n {filler}"), (7, f"{filler} {' '.join(tiny.split()[:8])} {filler}")]
     found = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (3, 2), (4, 3), (5, 4), (6, 4)}
+    # of the five words of items 2 and 3 two may be replaced: each of documents 3 and 4 holds both
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (3, 2), (4, 3), (3, 3), (4, 2), (5, 4), (6, 4)}
+
+
+def test_short_items_are_never_lost(spark):
+    """Random items of 1 to 16 words, verbatim and with as many words replaced as may be; every true case shares a seed and is held."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    items, docs, expected = [], [], set()
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20):
+        for _ in range(6):
+            i, text = len(items), [word() for _ in range(n)]
+            items.append((i, " ".join(text)))
+            for replaced in {0, replaceable(n)}:
+                x = list(text)
+                for spot in rng.sample(range(n), replaced):
+                    x[spot] = word()
+                expected.add((len(docs), i))
+                docs.append((len(docs), " ".join([word() for _ in range(30)] + x + [word() for _ in range(30)])))
+    assert all(holds(letters(docs[d][1]), letters(items[i][1])) for d, i in expected)
+    found = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert expected <= {(r.doc_id, r.item_id) for r in found.collect()}
+
+
+def test_long_replacing_words_and_long_items():
+    w = ITEM.split()
+    x = list(w)
+    x[7], x[15] = "incomprehensibilities" * 3, "o-n-e w o r d"
+    assert both("So: " + " ".join(x) + " end.")
+    rng = random.Random(1)
+    long_item = " ".join("".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(30_000))  # over a million letters
+    assert both("start " + " ".join(long_item.split()[29_900:29_912]) + " end", long_item)
+
+
+def test_hot_prints_give_way(spark):
+    """Items with a common opening: its prints are passed over, every leak is found all the same, that of the opening too."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    opening = " ".join(word() for _ in range(14))
+    items = [(i, opening + " " + " ".join(word() for _ in range(20))) for i in range(60)]
+    docs = [(i, "x " + items[i][1].split(" ", 14)[14] + " y") for i in range(0, 60, 5)] + [(100, f"a b {opening} c")]
+    found = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(0, 60, 5)} | {(100, i) for i in range(60)}
 
 
 def test_empty(spark):

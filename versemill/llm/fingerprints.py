@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -39,17 +41,19 @@ def gram_hashes(text: str, k: int) -> np.ndarray:
     return _mix((total[k:] - total[:-k]) * inverse[:n])
 
 
-def winnow(text: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the smallest k-gram of each run of w (the last of equal ones).
+def winnow(text: str, k: int, w: int, ranked: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the smallest k-gram of each run of w (the last of equal ones), or of the first by `ranked`.
 
-    Two texts with at least k + w - 1 characters in common share a kept gram. A text with fewer than w grams keeps its smallest.
+    Two texts with at least k + w - 1 characters in common share a kept gram, if both rank alike. A text with fewer than w
+    grams keeps its smallest.
     """
     h = gram_hashes(text, k)
     if not len(h):
         return np.empty(0, np.int64), h
+    order = h if ranked is None else ranked(h)
     if len(h) <= w:
-        at = np.array([len(h) - 1 - int(h[::-1].argmin())])
+        at = np.array([len(h) - 1 - int(order[::-1].argmin())])
     else:
-        runs = np.lib.stride_tricks.sliding_window_view(h, w)
+        runs = np.lib.stride_tricks.sliding_window_view(order, w)
         at = np.unique(np.arange(len(runs)) + w - 1 - runs[:, ::-1].argmin(axis=1))
     return at.astype(np.int64), h[at]

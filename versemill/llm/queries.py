@@ -33,12 +33,16 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repaired(table(spark, folder, "triptych"), _scan(spark, folder))
 
 
+#: Fields of the verses and the script each is written in.
+FIELDS = {"devanagari": "devanagari", "iast": "latin"}
+
+
 def _forms(spark: SparkSession, folder: str) -> DataFrame:
-    return forms.normal_forms(table(spark, folder, "verses"), "row_id", {"devanagari": "devanagari", "iast": "latin"})
+    return forms.normal_forms(table(spark, folder, "verses"), "row_id", FIELDS)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _forms(spark, folder).where("not is_plain").select("row_id", "field")
+    return forms.not_plain(table(spark, folder, "verses"), "row_id", FIELDS)
 
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
