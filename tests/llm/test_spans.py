@@ -55,6 +55,40 @@ def test_portions(spark):
     assert {got[i].class_id for i in (20, 21, 22)} == {20} and got[20].linked_classes == 1 and got[24].n_chars == 0
 
 
+def test_classes_and_passages(spark):
+    """Representative pairs plus membership say the same as the pairs; so do passages."""
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], SCHEMA)
+    portions = spans.shared_portions(df).collect()
+    rep = {r.doc_id: r.class_id for r in portions}
+    links = {(r.class_a, r.class_b) for r in spans.shared_span_links(df).collect()}
+    expected = {tuple(sorted((rep[a], rep[b]))) for a, b in brute(rows) if rep[a] != rep[b]}
+    assert links == expected
+    held = {}
+    for r in spans.shared_passages(df).collect():
+        held.setdefault(r.passage, set()).add(r.class_id)
+    assert {(a, b) for ids in held.values() for a in ids for b in ids if a < b} == expected
+    count = {i: sum(i in x for x in expected) for i in rep.values()}
+    assert {r.class_id: r.linked_classes for r in portions} == count
+
+
+def test_hot_copies_and_formula(spark):
+    """A text copied 10,000 times and a formula that closes 10,000 other records: rows by record, not by pair, and links whole."""
+    rng = random.Random(9)
+    copied, formula, pair = words(rng, 90), words(rng, 90)[:300], words(rng, 90)[:280]
+    n = 10_000
+    rows = [(i, copied) for i in range(n)] + [(n + i, f"{words(rng, 8)}-{i}-{formula}") for i in range(n)]
+    rows += [(3 * n + i, f"{words(rng, 8)} {pair} {i} {formula} {i}") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    passages = spans.shared_passages(df).collect()
+    assert max(r.holders for r in passages) == n + 2 and len(passages) < 1.1 * n
+    got = spans.shared_portions(df)
+    row = got.where(f"doc_id < {n}").selectExpr("count(distinct class_id) as classes", "min(shared_share) as share", "max(linked_classes) as links", "min(copies) as copies").first()
+    assert (row.classes, row.share, row.links, row.copies) == (1, 1.0, 0, n)
+    row = got.where(f"doc_id >= {n}").selectExpr("min(linked_classes) as least", "max(linked_classes) as most", "min(shared_chars) as shared").first()
+    assert (row.least, row.most) == (n + 1, n + 1) and row.shared >= 300
+
+
 def test_empty_and_repeated(spark):
     assert spans.shared_span_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
     twice = spark.createDataFrame([(1, "q" * 300, 0, "", ""), (1, "q" * 300, 0, "", "")], SCHEMA)

@@ -97,6 +97,14 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_portions(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_dictionary, p3_found, p3_repaired, p4_found, p4_groups, p4_plain, p5_found, p5_profile, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_shared)}
+def p8_links(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_span_links(table(spark, folder, "documents"))
+
+
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_passages(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_dictionary, p3_found, p3_repaired, p4_found, p4_groups, p4_plain, p5_found, p5_profile, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_shared, p8_links, p8_passages)}
 #: No SQL: these need rolling hashes, tokenizers, trained tables or code-point rules; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
