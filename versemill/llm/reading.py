@@ -23,10 +23,11 @@ def _words(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
 
 def _model(words: DataFrame, weights: DataFrame) -> tuple[DataFrame, list[float]]:
     """(word, s1..s5) log probabilities of each word that the weighted texts hold, and the levels' log priors."""
-    sums = [F.sum(F.col("n") * F.col(f"w{k}")).alias(f"c{k}") for k in LEVELS]
+    weight = {k: F.col("w")[i] for i, k in enumerate(LEVELS)}
+    sums = [F.sum(F.col("n") * weight[k]).alias(f"c{k}") for k in LEVELS]
     counts = stored(words.join(weights, "doc").groupBy("word").agg(*sums))
     total: Row = counts.agg(F.count("*").alias("v"), *(F.sum(f"c{k}").alias(f"t{k}") for k in LEVELS)).first()
-    prior: Row = weights.agg(*(F.sum(f"w{k}").alias(f"p{k}") for k in LEVELS)).first()
+    prior: Row = weights.agg(*(F.sum(weight[k]).alias(f"p{k}") for k in LEVELS)).first()
     v, mass = total["v"] or 1, sum(total[f"t{k}"] or 0.0 for k in LEVELS) or 1.0
     share = sum(F.col(f"c{k}") for k in LEVELS) / F.lit(mass) * F.lit(SMOOTHING * v)
     scores = [F.log((F.col(f"c{k}") + share) / F.lit((total[f"t{k}"] or 0.0) + SMOOTHING * v)).alias(f"s{k}") for k in LEVELS]
@@ -35,13 +36,16 @@ def _model(words: DataFrame, weights: DataFrame) -> tuple[DataFrame, list[float]
 
 
 def _posterior(docs: DataFrame, words: DataFrame, model: tuple[DataFrame, list[float]]) -> DataFrame:
-    """(doc, w1..w5): the levels' posterior probabilities of each text; the priors where no word is known."""
+    """(doc, w): the levels' posterior probabilities of each text as an array; the priors where no word is known.
+
+    The scores are one array and each step one column, so that no expression is written out more than once in the code.
+    """
     table, priors = model
     sums = words.join(small(table), "word").groupBy("doc").agg(*(F.sum(F.col("n") * F.col(f"s{k}")).alias(f"s{k}") for k in LEVELS))
-    scored = docs.join(sums, "doc", "left").select("doc", *((F.coalesce(f"s{k}", F.lit(0.0)) + F.lit(p)).alias(f"s{k}") for k, p in zip(LEVELS, priors)))
-    top = F.greatest(*(F.col(f"s{k}") for k in LEVELS))
-    odds = {k: F.exp(F.col(f"s{k}") - top) for k in LEVELS}
-    return scored.select("doc", *((odds[k] / sum(odds.values())).alias(f"w{k}") for k in LEVELS))
+    scored = docs.join(sums, "doc", "left").select("doc", F.array(*(F.coalesce(f"s{k}", F.lit(0.0)) + F.lit(p) for k, p in zip(LEVELS, priors))).alias("s"))
+    odds = scored.select("doc", F.transform(F.arrays_zip("s", F.array_repeat(F.array_max("s"), len(LEVELS)).alias("top")), lambda x: F.exp(x["s"] - x["top"])).alias("o"))
+    whole = F.aggregate("o", F.lit(0.0), lambda a, b: a + b)
+    return odds.select("doc", F.transform(F.arrays_zip("o", F.array_repeat(whole, len(LEVELS)).alias("sum")), lambda x: x["o"] / x["sum"]).alias("w"))
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, id_col: str = "draft_id", text_cols: tuple[str, ...] = ("meaning_simple", "takeaway"), level_col: str = "reading_level") -> DataFrame:
@@ -58,13 +62,13 @@ def reading_levels(docs: DataFrame, labels: DataFrame, id_col: str = "draft_id",
     words = stored(_words(full, id_col, list(text_cols)))
     ids = stored(full.select(full[id_col].cast("long").alias("doc")).where("doc is not null").distinct())
     known = labels.where(labels[level_col].isin(*LEVELS)).groupBy(labels[id_col].cast("long").alias("doc")).agg(F.min(level_col).alias("level")).join(ids, "doc", "left_semi")
-    known = stored(known.select("doc", *((F.col("level") == k).cast("double").alias(f"w{k}") for k in LEVELS)))
+    known = stored(known.select("doc", F.array(*((F.col("level") == k).cast("double") for k in LEVELS)).alias("w")))
     weights = known
     for _ in range(ROUNDS):
         guess = _posterior(ids.join(known, "doc", "left_anti"), words, _model(words, weights))
         weights = stored(known.unionByName(guess))
     final = _posterior(ids, words, _model(words, weights))
-    best = F.greatest(*(F.col(f"w{k}") for k in LEVELS))
-    level = F.coalesce(*(F.when(F.col(f"w{k}") == best, k) for k in LEVELS)).cast("int")
+    best = F.array_max("w")
+    level = F.element_at(F.lit(list(LEVELS)), F.array_position("w", best).cast("int"))
     sizes = words.groupBy("doc").agg(F.sum("n").alias("words"))
     return final.join(sizes, "doc", "left").select(F.col("doc").alias("doc_id"), level.alias("level"), best.alias("confidence"), F.coalesce("words", F.lit(0)).cast("long").alias("words"))
