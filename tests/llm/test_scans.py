@@ -30,6 +30,41 @@ def test_numbers_of_the_text_stay(spark):
     assert [(r.line, r.kind) for r in found.collect()] == [(3, "furniture")]
 
 
+def test_heads_of_many_books(spark):
+    """A thousand heads of twenty pages each, in capitals and in title case: none is too rare among the others."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(7))
+    rows = []
+    for book in range(1000):
+        title = f"{word()} {word()}"
+        heads = [title.upper()] * 18 + [title.title()] * 2
+        rows.append((book, [(f"The great lotus empties the\n{h} {k}\nnear lamp.", False) for k, h in enumerate(heads, 1)], "x", 1))
+    found = scans.scan_findings(spark.createDataFrame(rows, PAGES).repartition(4), [spark.createDataFrame([(c,) for c in CLEAN], "text string")])
+    got = found.groupBy("kind", "line").count().collect()
+    assert [(r.kind, r.line, r["count"]) for r in got] == [("furniture", 1, 20_000)]
+
+
+def test_names_on_a_line_of_their_own_stay(spark):
+    """A word of a head that is common in the text does not make its own line page matter."""
+    paras = ["THE LAY OF RIVERS\nThe great mother empties the near lamp, O\nMother!"] * 3 + ["the mother, the mother, the mother"] * 5 + ["MOTHER OF RIVERS\nx y"] * 2
+    _, found = run(spark, paras)
+    assert {(r.para, r.line) for r in found.where("kind = 'furniture'").collect()} == {(0, 0), (1, 0), (2, 0), (8, 0), (9, 0)}
+
+
+def test_other_alphabets(spark):
+    clean = ["Der große König liebt die Bäume und die Flüsse."] * 8
+    _, found = run(spark, ["Der große König liebt die Bäu-\nme und die Flusse."], clean)
+    assert {(r.line, r.kind, r.word) for r in found.collect()} == {(0, "hyphen", "baume")}
+
+
+def test_two_confusions_meet(spark):
+    """Two confusions far apart in one word; the same result as trying every pair of them."""
+    _, found = run(spark, ["The serpcnt is anioug the flowers; thc yoiing mariucr hides."], CLEAN + ["serpent among flowers young mariner hides"] * 6)
+    assert {r.word for r in found.collect()} >= {"serpent", "young", "mariner"}
+
+
 def test_clean_and_empty(spark):
     _, found = run(spark, ["The great lotus empties the near lamp."])
     assert found.count() == 0

@@ -23,7 +23,10 @@ RATIO = 5
 _HYPHENS = "-¬‐‑\xad⁃"
 _NUMERAL = re.compile(r"[IVXLCDMl1]+$")
 _NUMBER = re.compile(r"(?=.*\d)[\dlIOoSB]+$")
-_WORD = r"[a-z]+(?:['-][a-z]+)*"
+_WORD = r"\p{L}+(?:['-]\p{L}+)*"
+#: Occurrences in capital lines that make a word one of a running head; and the least share of its occurrences that such
+#: lines (or, for a word that numbers follow, following numbers) must have for it to be told by that alone.
+HEADS, SHARE = 2, 0.25
 
 
 def fold(word: str) -> str:
@@ -31,42 +34,60 @@ def fold(word: str) -> str:
     return "".join(ch for ch in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(ch))
 
 
-def _near(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] <= most
+def _head_words(line: str) -> tuple[list[str], list[str]] | None:
+    """Words of a line that may be page matter, and those of them that a running head must have; null for other lines.
 
+    Every part of such a line is a number, a numeral, a single capital, a word all in capitals, or one in title case.
+    """
+    parts = re.findall(r"[^\W_]+", line)
+    words = [p for p in parts if not _NUMBER.match(p) and not _NUMERAL.match(p) and len(p) > 1]
+    titled = []
+    for p in words:
+        upper = sum(ch.isupper() for ch in p)
+        if upper + sum(ch.isdigit() or ch == "l" for ch in p) == len(p) and upper >= 1:
+            continue
+        if not (p[0].isupper() or p[0].isdigit()):
+            return None
+        titled.append(fold(p))
+    return (words, titled) if parts else None
 
-def is_furniture(line: str, before: str, heads: list[str], counted: list[str]) -> bool:
+
+def is_furniture(line: str, before: str, heads: set[str], telling: set[str], counted: set[str]) -> bool:
     """Whether a line is page matter: running head, page number or signature. before: the last word of the text so far.
 
-    Every part of such a line is a number, a numeral, a single capital, or a word all in capitals or in title case that a
-    head has (a character or two may be misread). A lone number is text where a word that numbers follow comes before it.
+    Words in title case must be head words, one of them a telling one. A lone number is text where a word that numbers
+    follow comes before it. The sets hold words as they are read, misread ones with them.
     """
-    parts = re.findall(r"[^\W_]+", line)
-    if not parts:
+    found = _head_words(line)
+    if found is None:
         return False
-    words = [p for p in parts if not _NUMBER.match(p) and not _NUMERAL.match(p) and len(p) > 1]
+    words, titled = found
     if not words:
-        alone = len(parts) == 1 and parts[0].isdigit()
-        if alone and any(_near(fold(before), w, 1 + (len(w) > 4)) for w in counted):
+        parts = re.findall(r"[^\W_]+", line)
+        if len(parts) == 1 and parts[0].isdigit() and fold(before) in counted:
             return False
         return any(ch.isdigit() for p in parts for ch in p) or all(p[0].isupper() for p in parts)
-    for p in words:
-        upper = sum(ch.isupper() for ch in p)
-        if upper + sum(ch.isdigit() or ch == "l" for ch in p) == len(p) and upper >= 1:
+    return not titled or (all(w in heads for w in titled) and any(w in telling for w in titled))
+
+
+def asked_words(text: str) -> set[tuple[str, str]]:
+    """(kind, word) of what reading the paragraph will ask: 'head' for words in title case of lines that may be page matter,
+    'lead' for words that may stand before a lone number."""
+    out: set[tuple[str, str]] = set()
+    lines = text.split("\n")
+    for n, line in enumerate(lines):
+        found = _head_words(line)
+        if found is None:
             continue
-        if p[0].isupper() or p[0].isdigit():
-            if any(_near(fold(p), h, 2 if len(h) > 5 else 1 if len(h) > 3 else 0) for h in heads):
-                continue
-        return False
-    return True
+        out.update(("head", w) for w in found[1])
+        if not found[0]:
+            for earlier in reversed(lines[:n]):  # up to the nearest line that is text for sure
+                words = _parts(earlier)
+                if words:
+                    out.add(("lead", fold(words[-1][0])))
+                if words and _head_words(earlier) is None:
+                    break
+    return out
 
 
 def _parts(line: str) -> list[tuple[str, int]]:
@@ -79,14 +100,14 @@ def _parts(line: str) -> list[tuple[str, int]]:
     return out
 
 
-def read_paragraph(text: str, heads: list[str], counted: list[str]) -> list[tuple[int, int, str, str, str, str]]:
+def read_paragraph(text: str, heads: set[str], telling: set[str], counted: set[str]) -> list[tuple[int, int, str, str, str, str]]:
     """(line, place, kind, raw, word, next): kind 'f' page matter, 'h' a break with its two parts, 'w' a whole word and its follower."""
     lines = text.split("\n")
     out: list[tuple[int, int, str, str, str, str]] = []
     broken: tuple[int, int, str] | None = None
     before = ""
     for n, line in enumerate(lines):
-        if is_furniture(line, before, heads, counted):
+        if is_furniture(line, before, heads, telling, counted):
             out.append((n, -1, "f", "", "", ""))
             continue
         words = _parts(line)
@@ -114,8 +135,8 @@ def read_paragraph(text: str, heads: list[str], counted: list[str]) -> list[tupl
 
 
 def anagram_hash(word: Column) -> Column:
-    """The sum of the fifth powers of a word's characters: equal for anagrams, and additive."""
-    powers = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.pow(F.ascii(c).cast("double"), F.lit(5)).cast("long"))
+    """The sum of the fifth powers of a word's characters: equal for anagrams, and additive. Letters no confusion knows count as one."""
+    powers = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.pow(F.least(F.ascii(c), F.lit(255)).cast("double"), F.lit(5)).cast("long"))
     return F.aggregate(powers, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
@@ -142,28 +163,51 @@ def explained(seen: str, printed: str, most: int = 2) -> int:
     return 0
 
 
-def _learnt(lines: DataFrame) -> tuple[list[str], list[str]]:
-    """Words of running heads, from lines all in capitals, and words that numbers follow within lines.
+def _alike(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(kind, word, telling): words that are, but for a character or two misread, among the known ones of their kind.
 
-    Each list keeps words with a share of at least a 400th of all such words, so neither can be longer than 400.
+    words(kind, word), known(kind, w, telling). Up to three letters must be equal, up to five may have one edit, longer ones
+    two. A known word is cut into one part more than edits; a word that is alike has one of them whole, at most two places
+    off: both meet on equal parts, then the distance decides.
     """
-    capital = lines.where(F.col("text").rlike(r"^[^a-z]*[A-Z]{3,}[^a-z]*$"))
-    heads = capital.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z]{2,}"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).count()
-    leads = lines.select(F.explode(F.regexp_extract_all("text", F.lit(r"([a-z]{3,}) [0-9]+(?![0-9a-z])"), F.lit(1))).alias("w")).groupBy("w").count()
-    out = []
-    for counts in (heads, leads):
-        total = counts.agg(F.sum("count")).first()[0] or 0
-        out.append(sorted(r.w for r in counts.where(F.col("count") >= max(2, -(-total // 400))).collect()))
-    return sorted({*out[0], "chapter"}), out[1]
+    parts = F.when(F.length("w") > 5, 3).when(F.length("w") > 3, 2).otherwise(1)
+    cut = lambda i: F.floor(F.length("w") * i / F.col("parts")).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(cut(i).alias("start"), F.substring("w", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
+    cuts = known.where("w <> ''").withColumn("parts", parts).select("kind", "w", "parts", "telling", F.inline(pieces))
+    size = F.length("word")
+    lengths = F.sequence(F.lit(1), F.greatest(F.least(size, F.lit(3)), F.ceil((size + 2) / 2).cast("int")))
+    spots = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring("word", i, n).alias("piece")))))
+    met = words.where("word <> ''").select("kind", "word", F.inline(spots)).distinct().join(cuts, ["kind", "piece"]).where(F.abs(F.col("at") - 1 - F.col("start")) < F.col("parts"))
+    met = met.where(F.levenshtein("word", "w") < F.col("parts"))
+    return met.groupBy("kind", "word").agg(F.max("telling").alias("telling"))
+
+
+def _learnt(lines: DataFrame) -> DataFrame:
+    """(kind, w, telling): words of running heads, from lines all in capitals, and words that numbers follow within lines.
+
+    A word counts by its own occurrences alone, however many others there are. One that mostly stands elsewhere is no telling
+    word of a head, and is none that numbers follow.
+    """
+    low = F.lower("text")
+    every = lambda pattern, group=0, of="text": F.explode(F.regexp_extract_all(of, F.lit(pattern), F.lit(group))).alias("w")
+    capital = lines.where(F.col("text").rlike(r"^[^\p{Ll}]*\p{Lu}{3,}[^\p{Ll}]*$"))
+    heads = capital.select(every(r"\p{Lu}{2,}")).select(F.lit("head").alias("kind"), F.lower("w").alias("w"))
+    leads = lines.select(every(r"(\p{Ll}{3,}) [0-9]+(?![0-9\p{Ll}])", 1)).select(F.lit("lead").alias("kind"), "w")
+    counts = heads.unionByName(leads).groupBy("kind", "w").agg(F.count("*").alias("n")).where(f"n >= {HEADS}")
+    everywhere = lines.select(low.alias("text")).select(every(r"\p{L}{2,}")).groupBy("w").agg(F.count("*").alias("of"))
+    known = counts.join(everywhere, "w", "left").select("kind", "w", (F.col("n") >= SHARE * F.coalesce("of", "n")).alias("telling"))
+    own = lines.sparkSession.createDataFrame([("head", "chapter", True)], "kind string, w string, telling boolean")
+    return known.where("kind = 'head' or telling").unionByName(own)
 
 
 def scan_findings(pages: DataFrame, clean: list[DataFrame], chapter_col: str = "chapter", paras_col: str = "telang_paras") -> DataFrame:
     """(chapter, para, line, place, kind, word), distinct: page matter, broken words and misread words with the right word.
 
-    pages holds an array of struct<text, ...> for each chapter; each frame of `clean` has one string column of clean text
+    Running heads are learnt from all lines in capitals, each word by its own count, and a line in title case is page matter
+    if its words are, but for a letter or two, such words. pages holds an array of struct<text, ...> for each chapter; each frame of `clean` has one string column of clean text
     in the same language, which with the scan's own words makes the frequency list. A word that clean text never has is
     joined, by anagram hash plus the difference of one known confusion of characters (of two where one explains nothing),
-    with words at least RATIO times as frequent; the fewest confusions win, then the greater frequency, then the alphabet.
+    with words at least RATIO times as frequent. The fewest confusions win, then the greater frequency, then the alphabet.
     Two neighbours on a line whose joining clean text has are a split word unless clean text has them side by side. The
     parts of a break are joined with or without the hyphen, whichever form the words' counts favour. place is the word's
     index among its line's tokens, -1 for page matter. Null and empty paragraphs or arrays give no rows, para counts them.
@@ -171,22 +215,37 @@ def scan_findings(pages: DataFrame, clean: list[DataFrame], chapter_col: str = "
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     paras = pages.select(pages[chapter_col].cast("int").alias("chapter"), F.posexplode(pages[paras_col]).alias("para", "x")).select("chapter", "para", F.col("x.text").alias("text")).where("text is not null")
     paras = paras.repartition(parts, "chapter", "para").distinct()  # a fixed number: the reading below is the long part
-    heads, counted = _learnt(paras.select(F.explode(F.split("text", "\n")).alias("text")))
+    paras = stored(paras)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(c, p, *x) for c, p, t in zip(pdf.chapter, pdf.para, pdf.text) for x in asked_words(t)]
+            yield pd.DataFrame(rows, columns=["chapter", "para", "kind", "word"])
+
+    asked = stored(paras.mapInPandas(ask, "chapter int, para int, kind string, word string"))
+    known = _alike(asked.select("kind", "word").distinct(), _learnt(paras.select(F.explode(F.split("text", "\n")).alias("text"))))
+    set_of = lambda condition: F.collect_set(F.when(F.expr(condition), F.col("word")))
+    told = asked.join(known, ["kind", "word"]).groupBy("chapter", "para").agg(set_of("kind = 'head'").alias("heads"), set_of("kind = 'head' and telling").alias("telling"), set_of("kind = 'lead'").alias("counted"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(c, p, *x) for c, p, t in zip(pdf.chapter, pdf.para, pdf.text) for x in read_paragraph(t, heads, counted)]
+            sets = [[set(x) if x is not None else set() for x in pdf[name]] for name in ("heads", "telling", "counted")]
+            rows = [(c, p, *x) for c, p, t, *own in zip(pdf.chapter, pdf.para, pdf.text, *sets) for x in read_paragraph(t, *own)]
             yield pd.DataFrame(rows, columns=["chapter", "para", "line", "place", "kind", "raw", "word", "next"])
 
-    tokens = stored(paras.mapInPandas(read, "chapter int, para int, line int, place int, kind string, raw string, word string, next string"))
+    tokens = stored(paras.join(told, ["chapter", "para"], "left").mapInPandas(read, "chapter int, para int, line int, place int, kind string, raw string, word string, next string"))
     words, breaks = tokens.where("kind = 'w'"), tokens.where("kind = 'h'")
 
+    @F.pandas_udf("string")
+    def folded(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: x.lower() if x.isascii() else fold(x))
+
     texts = None
     for one in clean:
-        one = one.select(F.lower(F.col(one.columns[0])).alias("t")).where("t is not null")
+        one = one.select(F.col(one.columns[0]).alias("as_is")).where("as_is is not null").select("as_is", folded("as_is").alias("t"))
         texts = one if texts is None else texts.unionByName(one)
     if texts is None:
-        texts = tokens.select(F.col("word").alias("t")).limit(0)
+        texts = tokens.select(F.col("word").alias("as_is"), F.col("word").alias("t")).limit(0)
     seen_clean = texts.select(F.explode(F.regexp_extract_all("t", F.lit(_WORD), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("clean"))
     pairs_clean = texts.select(F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)).alias("a")).where("size(a) > 1").select(F.explode(F.arrays_zip(F.expr("slice(a, 1, size(a) - 1)").alias("x"), F.expr("slice(a, 2, size(a) - 1)").alias("y"))).alias("p")).select("p.x", "p.y").distinct()
     # within the scan the same counts come from raw words without marks, so that a misread form never lends weight to itself
@@ -203,32 +262,37 @@ def scan_findings(pages: DataFrame, clean: list[DataFrame], chapter_col: str = "
     keep = (has("n_kept") > has("n_joined")) | ((has("n_kept") == has("n_joined")) & (has("n_joined") == 0) & (has("c_word") > 0) & (has("c_next") > 0) & (F.length("word") > 2) & (F.length("next") > 2))
     both = stored(both.select("word", "next", F.when(keep, F.col("kept")).otherwise(F.col("joined")).alias("whole")))
 
-    unknown = words.select("raw", "word").union(both.select("whole", "whole")).where("length(word) > 1 and word rlike '[a-z]'").distinct()
+    unknown = words.select("raw", "word").union(both.select("whole", "whole")).where("length(word) > 1 and word rlike '\\\\p{L}'").distinct()
     unknown = unknown.join(n, unknown["word"] == n["w"], "left").select("raw", "word", has("n").alias("own"), has("clean").alias("own_clean"))
-    marked = unknown.where("raw <> word and own_clean > 0").select("raw", F.col("word").alias("right"))
+    # marks on a word that clean text has only without them are the scan's
+    own_marks = texts.where(F.col("as_is").rlike(r"[^\x00-\x7F]")).select(F.explode(F.regexp_extract_all(F.lower("as_is"), F.lit(_WORD), F.lit(0))).alias("raw")).distinct()
+    marked = unknown.where("raw <> word and own_clean > 0").select("raw", F.col("word").alias("right")).join(own_marks, "raw", "left_anti")
     unknown = stored(unknown.where("own_clean = 0").withColumn("h", anagram_hash(F.col("word"))))
 
-    single = {_value(y) - _value(x) for x, y in _PAIRS}
-    double = {a + b for a in single for b in single} - single - {0}
+    single = F.lit(sorted({_value(y) - _value(x) for x, y in _PAIRS}))
 
     @F.pandas_udf("int")
     def steps(seen: pd.Series, printed: pd.Series) -> pd.Series:
         return pd.Series([explained(a, b) for a, b in zip(seen, printed)], dtype="int32")
 
-    def corrected(rare: DataFrame, differences: set[int]) -> DataFrame:
-        right = small(counts.where("n > 1 or clean > 0").select(F.col("w").alias("right"), F.col("n").alias("of"), "h"))
-        met = rare.withColumn("h", F.explode(F.transform(F.lit(sorted(differences)), lambda d: d + F.col("h")))).join(right, "h").where((F.col("of") >= RATIO * F.col("own")) & (F.abs(F.length("word") - F.length("right")) <= 4))
-        met = met.withColumn("steps", steps("word", "right")).where("steps > 0")
+    right = counts.where("n > 1 or clean > 0").select(F.col("w").alias("right"), F.col("n").alias("of"), "h")
+
+    def corrected(rare: DataFrame, twice: bool = False) -> DataFrame:
+        """The best word of a hash that differs by one confusion, or by two: then each side goes one of them towards the other."""
+        away = F.explode(F.transform(single, lambda d: F.col("h") + d))
+        other = right.withColumn("h", F.explode(F.transform(single, lambda d: F.col("h") - d))) if twice else right
+        met = rare.withColumn("h", away).join(small(other), "h").where((F.col("of") >= RATIO * F.col("own")) & (F.abs(F.length("word") - F.length("right")) <= 4))
+        met = met.select("raw", "word", "right", "of").distinct().withColumn("steps", steps("word", "right")).where("steps > 0")
         best = met.groupBy("raw").agg(F.min(F.struct("steps", (-F.col("of")).alias("of"), "right")).alias("b"))
         return best.select("raw", "b.right")
 
-    once = stored(corrected(unknown, single))
+    once = stored(corrected(unknown))
     left = stored(unknown.where("length(word) > 4").join(once, "raw", "left_anti"))
-    twice = corrected(left, double)
+    twice = corrected(left, twice=True)
     # an inflected form that neither text has right: its stem is looked up instead
     stems = left.where("word like '%s'").join(twice, "raw", "left_anti").select("raw", F.expr("substring(word, 1, length(word) - 1)").alias("word"), F.lit(0).alias("own"))
     stems = stems.join(n.select(F.col("w").alias("word")), "word", "left_anti").withColumn("h", anagram_hash(F.col("word")))
-    stems = corrected(stems.select("raw", "word", "own", "h"), single).select("raw", F.concat("right", F.lit("s")).alias("right"))
+    stems = corrected(stems.select("raw", "word", "own", "h")).select("raw", F.concat("right", F.lit("s")).alias("right"))
     right_of = stored(once.unionByName(twice).unionByName(stems).unionByName(marked).groupBy("raw").agg(F.min("right").alias("right")))
 
     spot = ["chapter", "para", "line", "place"]
