@@ -67,14 +67,6 @@ def test_known_pairs(spark):
     assert sum(max(x)[1] == A.english_stems(ENGLISH[STEMS.index(e)])[0] for e, x in learnt.items() if e in STEMS) >= 0.9 * len(STEMS)
 
 
-def test_large_table_takes_the_join(spark, monkeypatch):
-    v, s, _ = corpus(random.Random(2), chapters=3, verses=6)
-    one = {(r.verse_id, r.sent_no) for r in A.aligned(*frames(spark, v, s))[0].collect()}
-    monkeypatch.setattr(A, "BROADCAST_BYTES", 1)
-    two = {(r.verse_id, r.sent_no) for r in A.aligned(*frames(spark, v, s))[0].collect()}
-    assert len(one ^ two) <= 0.1 * len(one | two)
-
-
 def test_paths_of_training_agree(spark, monkeypatch):
     v, s, _ = corpus(random.Random(2), chapters=3, verses=6)
     monkeypatch.setattr(A, "LEAST", 0.05)  # many counts of a single batch are below
@@ -104,6 +96,51 @@ def test_empty(spark):
         assert A.aligned(*frames(spark, a, b))[0].count() == 0
 
 
+def test_partitions_and_batches_change_nothing(spark):
+    """The same rows for any number of partitions and any size of Arrow batches."""
+    v, s, _ = corpus(random.Random(2), chapters=3, verses=6)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    one = {(r.verse_id, r.sent_no) for r in A.aligned(*frames(spark, v, s))[0].collect()}
+    held = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, "7")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        assert {(r.verse_id, r.sent_no) for r in A.aligned(*frames(spark, v, s))[0].collect()} == one
+    finally:
+        spark.conf.set(key, held[0])
+        spark.conf.set("spark.sql.shuffle.partitions", held[1])
+
+
+def test_best_path_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        gains = [{j: 0.5 + rng.random() for j in range(m) if rng.random() < 0.6} for _ in range(n)]
+
+        def best(i, last):
+            if i == n:
+                return 0.0
+            return max([best(i + 1, last), *(g - A.RENDERED + (A.AHEAD if j > last else 0) + best(i + 1, j) for j, g in gains[i].items() if j >= last)])
+
+        path = A._best_path(gains, m)
+        assert sorted(path.values()) == [path[i] for i in sorted(path)]
+        last, total = -1, 0.0
+        for i in sorted(path):
+            total += gains[i][path[i]] - A.RENDERED + (A.AHEAD if path[i] > last else 0)
+            last = path[i]
+        assert abs(total - best(0, -1)) < 1e-9
+
+
+def test_length_beads_of_long_chapters():
+    """Rows worked out again give the same beads whatever their number; a long chapter takes little memory."""
+    rng = random.Random(8)
+    a = [rng.randint(20, 90) for _ in range(700)]
+    b = [x + rng.randint(-3, 3) for x in a]
+    assert [x[:4] for x in A.length_beads(a, b)] == [(k, k + 1, k, k + 1) for k in range(700)]
+    cost = sum(x[4] for x in A.length_beads(a[:40], b[10:50]))
+    assert cost < sum(x[4] for x in A.length_beads(a[:40], b[30:70])) + 200
+
+
 def test_length_beads():
     assert [(i, j, k, m) for i, j, k, m, _ in A.length_beads([10, 20, 30], [11, 19, 31])] == [(0, 1, 0, 1), (1, 2, 1, 2), (2, 3, 2, 3)]
     assert [x[:4] for x in A.length_beads([40, 42], [85])] == [(0, 2, 0, 1)]

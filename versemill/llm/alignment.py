@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from versemill.functions.translit import to_iast
 from versemill.llm.forms import plain
-from versemill.runtime import BROADCAST_BYTES, stored
+from versemill.runtime import BROADCAST_BYTES, release, stored
 
 #: Iterations of each training, trainings (the second on realigned pairs), and the least probability a table keeps.
 ITERATIONS, TRAININGS, FLOOR = 5, 2, 1e-3
+#: The code of no word at all; words stand as 64-bit hashes in training.
+NO_WORD = 0
 #: Cells or pairs that one batch of beads may open at once, and the least count, over all beads, of a pair that is kept.
 WIDEST, LEAST = 8_000_000, 1e-4
 #: Least p(word | stem) and p(stem | word) of a dictionary entry; share of a half verse a sentence must render.
@@ -69,33 +71,59 @@ def _lists(**columns: list) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series(v, dtype="object") for k, v in columns.items()})
 
 
+# fixed values: (verses, sentences, price) of the kinds of beads
+_BEADS = ((1, 1, 0.0), (1, 2, 1.6), (2, 1, 1.2), (2, 2, 3.0), (1, 0, 3.5), (0, 1, 3.5), (3, 1, 3.5))
+
+
 def length_beads(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, float]]:
-    """The cheapest sequence of beads (a from, to, b from, to, cost) by length alone, 0-1 to 3-1."""
-    kinds = ((1, 1, 0.0), (1, 2, 1.6), (2, 1, 1.2), (2, 2, 3.0), (1, 0, 3.5), (0, 1, 3.5), (3, 1, 3.5))
+    """The cheapest sequence of beads (a from, to, b from, to, cost) by length alone, 0-1 to 3-1.
+
+    The whole table is searched, but only every so many rows are kept and the rows between worked out again on the way back:
+    the memory is that of a square root of the rows.
+    """
     n, m = len(a), len(b)
     ratio = sum(b) / max(1, sum(a))
     sa, sb = np.concatenate([[0], np.cumsum(a)]) * ratio, np.concatenate([[0], np.cumsum(b)])
-    cost, back = np.full((n + 1, m + 1), np.inf), np.zeros((n + 1, m + 1), np.int8)
-    cost[0, 0] = 0
-    for i in range(n + 1):
-        best, kind = cost[i], back[i]
-        for k, (x, y, price) in enumerate(kinds):
-            if not x or i < x:
+    lone = next(k for k, x in enumerate(_BEADS) if x[:2] == (0, 1))
+    slope = _BEADS[lone][2] * np.arange(m + 1)
+
+    def row(i: int, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Costs and kinds of row i; before: the rows above it, the nearest last."""
+        best, kind = np.full(m + 1, np.inf), np.zeros(m + 1, np.int8)
+        if not i:
+            best[0] = 0
+        for k, (x, y, price) in enumerate(_BEADS):
+            if not x or i < x or y > m:
                 continue
             la = sa[i] - sa[i - x]
             lb = sb[y:] - sb[: m + 1 - y]
-            step = price + ((lb - la) ** 2 / (2 * 6.8 * np.maximum(np.maximum(la, lb), 1)) if y else 0)
-            new = cost[i - x, : m + 1 - y] + step
+            new = before[-x][: m + 1 - y] + price + ((lb - la) ** 2 / (2 * 6.8 * np.maximum(np.maximum(la, lb), 1)) if y else 0)
             better = new < best[y:]
             best[y:][better] = new[better]
             kind[y:][better] = k
-        for j in range(1, m + 1):  # sentences without a verse
-            if best[j - 1] + kinds[5][2] < best[j]:
-                best[j], kind[j] = best[j - 1] + kinds[5][2], 5
+        alone = np.minimum.accumulate(best - slope) + slope  # sentences without a verse
+        more = alone < best - 1e-9
+        best[more], kind[more] = alone[more], lone
+        return best, kind
+
+    block = int((n + 1) ** 0.5) + 3
+    kept: dict[int, list[np.ndarray]] = {}
+    above: list[np.ndarray] = []
+    for i in range(n + 1):
+        if i % block == 0:
+            kept[i] = list(above)
+        above = [*above[-2:], row(i, above)[0]]
     out, i, j = [], n, m
+    begin, rows = n + 1, {}
     while i or j:
-        x, y, _ = kinds[back[i, j]]
-        out.append((i - x, i, j - y, j, float(cost[i, j] - cost[i - x, j - y])))
+        if i < begin:
+            begin = i - i % block
+            above, rows = list(kept[begin]), {begin - len(kept[begin]) + k: (x, None) for k, x in enumerate(kept[begin])}
+            for r in range(begin, i + 1):
+                rows[r] = row(r, above)
+                above = [*above[-2:], rows[r][0]]
+        x, y, _ = _BEADS[rows[i][1][j]]
+        out.append((i - x, i, j - y, j, float(rows[i][0][j] - rows[i - x][0][j - y])))
         i, j = i - x, j - y
     return out[::-1]
 
@@ -138,20 +166,23 @@ def _length_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _lists(source=source, target=target)
 
 
+_NONE = np.array([NO_WORD], np.int64)
+
+
 def _pair_counts(source: list[np.ndarray], target: list[np.ndarray], table: pd.DataFrame | None) -> pd.DataFrame:
     """Expected counts of one batch of beads, all pairs of its words at once; halved as long as its table of words is too wide."""
     ns, nt = np.array([len(x) + 1 for x in source]), np.array([len(x) for x in target])
     if not nt.sum():
         return pd.DataFrame({"e": [], "f": [], "c": []})
-    stems, stem_names = pd.factorize(np.concatenate([w for x in source for w in (np.append(np.asarray(x, object), ""),)]))
-    words, word_names = pd.factorize(np.concatenate([np.asarray(x, object) for x in target]))
+    stems, stem_names = pd.factorize(np.concatenate([w for x in source for w in (x, _NONE)]))
+    words, word_names = pd.factorize(np.concatenate(target))
     wide = len(word_names)
     if len(source) > 1 and (len(stem_names) * wide > WIDEST or int((ns * nt).sum()) > WIDEST):
         k = len(source) // 2
         return pd.concat([_pair_counts(source[:k], target[:k], table), _pair_counts(source[k:], target[k:], table)])
     odds = np.full((len(stem_names), wide), 1.0 if table is None else 1e-7)
     if table is None:
-        odds[pd.Index(stem_names).get_indexer([""])[0]] = 0.3
+        odds[pd.Index(stem_names).get_indexer(_NONE)[0]] = 0.3
     else:
         i, j = pd.Index(stem_names).get_indexer(table["e"]), pd.Index(word_names).get_indexer(table["f"])
         there = (i >= 0) & (j >= 0)
@@ -184,11 +215,11 @@ def _expected(beads: DataFrame, table: DataFrame | None) -> DataFrame:
                 if sum(map(len, held)) > 2_000_000:
                     held = [pd.concat(held).groupby(["e", "f"], as_index=False)["c"].sum()]
             if held:
-                yield pd.concat(held).groupby(["e", "f"], as_index=False)["c"].sum().astype({"e": "object", "f": "object", "c": "float64"})
+                yield pd.concat(held).groupby(["e", "f"], as_index=False)["c"].sum().astype({"e": "int64", "f": "int64", "c": "float64"})
 
-        partial = beads.mapInPandas(expect, "e string, f string, c double")
+        partial = beads.mapInPandas(expect, "e long, f long, c double")
     else:
-        pairs = beads.select(F.monotonically_increasing_id().alias("bead"), F.array_append("source", F.lit("")).alias("source"), F.posexplode("target").alias("at", "f"))
+        pairs = beads.select(F.monotonically_increasing_id().alias("bead"), F.array_append("source", F.lit(NO_WORD).cast("long")).alias("source"), F.posexplode("target").alias("at", "f"))
         pairs = pairs.select("bead", "at", "f", F.explode("source").alias("e")).join(table, ["e", "f"], "left").withColumn("o", F.coalesce("p", F.lit(1e-7)))
         sums = pairs.groupBy("bead", "at").agg(F.sum("o").alias("total"), F.collect_list(F.struct("e", "f", "o")).alias("all"))
         partial = sums.select("total", F.explode("all").alias("x")).select("x.e", "x.f", (F.col("x.o") / F.col("total")).alias("c"))
@@ -196,12 +227,24 @@ def _expected(beads: DataFrame, table: DataFrame | None) -> DataFrame:
 
 
 def _train(beads: DataFrame) -> DataFrame:
-    """(e, f, p, back): p(word | stem) and p(stem | word) after the last iteration; stem '' stands for no word at all."""
+    """(e, f, p, back): p(word | stem) and p(stem | word) after the last iteration; stem '' stands for no word at all.
+
+    Words travel as 64-bit hashes through all iterations and get their letters back at the end.
+    """
+    code = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    coded = stored(beads.select(code("source").alias("source"), code("target").alias("target")))
     table = counts = None
     for _ in range(ITERATIONS):
-        counts = _expected(beads, table)
+        old, counts = counts, _expected(coded, table)
+        rest = table
         table = stored(counts.join(counts.groupBy("e").agg(F.sum("c").alias("t")), "e").select("e", "f", (F.col("c") / F.col("t")).alias("p"), "c").where(f"p > {FLOOR}"))
-    return stored(table.join(counts.groupBy("f").agg(F.sum("c").alias("t")), "f").select("e", "f", "p", (F.col("c") / F.col("t")).alias("back")))
+        release(*(x for x in (old, rest) if x is not None))
+    both = table.join(counts.groupBy("f").agg(F.sum("c").alias("t")), "f").select("e", "f", "p", (F.col("c") / F.col("t")).alias("back"))
+    named = lambda c, code, word: beads.select(F.explode(c).alias(word)).distinct().select(F.xxhash64(word).alias(code), word)
+    out = both.join(named("source", "e", "stem"), "e", "left").join(named("target", "f", "word"), "f")
+    out = stored(out.where(f"stem is not null or e = {NO_WORD}").select(F.coalesce("stem", F.lit("")).alias("e"), F.col("word").alias("f"), "p", "back"))
+    release(coded, counts, table)
+    return out
 
 
 def dictionary(table: DataFrame) -> DataFrame:
@@ -209,6 +252,45 @@ def dictionary(table: DataFrame) -> DataFrame:
     return table.where(f"e <> '' and p >= {FORWARD} and back >= {BACKWARD}").select("e", "f", F.least(F.lit(1.0), (F.col("back") - 0.1) / 0.35).alias("q"))
 
 
+def _best_path(gains: list[dict[int, float]], m: int) -> dict[int, int]:
+    """Half to sentence: the monotone path of the greatest total, a half having at most one sentence.
+
+    A prefix maximum over the sentences, kept as a tree of sums' kind, is asked and raised once for each gain: time and memory
+    grow with the gains, not with halves times sentences.
+    """
+    tree: list[tuple[float, int]] = [(0.0, -1)] * (m + 1)
+    nodes: list[tuple[int, int, int]] = []  # half, sentence, the node before
+
+    def upto(j: int) -> tuple[float, int]:
+        best = (0.0, -1)
+        while j > 0:
+            if tree[j][0] > best[0]:
+                best = tree[j]
+            j -= j & -j
+        return best
+
+    for i, row in enumerate(gains):
+        fresh = []
+        for j, g in row.items():
+            (stay, one), (earlier, two) = upto(j + 1), upto(j)
+            value, last = max((stay + g - RENDERED, one), (earlier + g - RENDERED + AHEAD, two), key=lambda x: x[0])
+            if value > stay:
+                fresh.append((value, j, last))
+        for value, j, last in fresh:
+            nodes.append((i, j, last))
+            k = j + 1
+            while k <= m:
+                if value > tree[k][0]:
+                    tree[k] = (value, len(nodes) - 1)
+                k += k & -k
+    path: dict[int, int] = {}
+    at = upto(m)[1]
+    while at >= 0:
+        i, j, at = nodes[at]
+        path[i] = j
+    return path
+
+
 def lexical_alignment(halves: list[list[str]], owners: list[int], sentences: list[list[str]], weight: dict[str, dict[str, float]]) -> list[tuple[int, int, float]]:
     """(half, sentence, share rendered): a monotone path of best total score, then what was moved or rendered twice.
 
@@ -235,29 +317,7 @@ def lexical_alignment(halves: list[list[str]], owners: list[int], sentences: lis
         return sum(links[e][1] for e in set(halves[i]) if e in links) / max(2, len(set(halves[i])))
 
     gains = [{j: g for j, links in row.items() if len(links) > 1 and (g := score(i, links)) > RENDERED} for i, row in enumerate(rows)]
-    best, back = np.zeros(m + 1), []
-    for i in range(n):
-        new = best.copy()
-        taken = {}
-        for j, g in gains[i].items():
-            stay, fresh = best[j + 1] + g - RENDERED, best[j] + g - RENDERED + AHEAD
-            if max(stay, fresh) > new[j + 1]:
-                new[j + 1] = max(stay, fresh)
-                taken[j + 1] = fresh >= stay
-        top = np.maximum.accumulate(new)
-        back.append((taken, new, top))
-        best = top
-    path: dict[int, int] = {}
-    j = m
-    for i in range(n - 1, -1, -1):
-        taken, new, top = back[i]
-        while j and new[j] < top[j]:
-            j -= 1
-        while j and j not in taken and (back[i - 1][2][j] if i else 0.0) < top[j]:
-            j -= 1
-        if j in taken and new[j] > (back[i - 1][2][j] if i else 0.0):
-            path[i] = j - 1
-            j -= taken[j]
+    path = _best_path(gains, m)
     found: list[tuple[int, int, float]] = []
     used: dict[int, set[str]] = defaultdict(set)
     for i, j in sorted(path.items(), key=lambda x: (-gains[x[0]][x[1]], x)):  # a word stands for one half only
@@ -348,8 +408,13 @@ def aligned(verses: DataFrame, sentences: DataFrame, align: DataFrame, glossary:
     entries = pairs = None
     for training in range(TRAININGS):
         if training:
+            old = (beads, entries, pairs)
             beads = stored(pairs.where(f"share >= {MOVED}").select("source", "target").unionByName(hints).repartition(_tasks(verses)))
-        entries = stored(dictionary(_train(beads)))
+            release(*old)
+        trained = _train(beads)
+        entries = stored(dictionary(trained))
+        release(trained)
         pairs = stored(_realigned(chapters, entries))
+    release(beads, chapters, hints)
     out = pairs.groupBy("verse_id", "rendition", "sent_no").agg(F.max("share").alias("share"))
     return out, entries.select(F.col("e").alias("stem"), F.col("f").alias("word"), F.col("q").alias("weight"))
