@@ -80,11 +80,15 @@ def test_markup(spark):
 def test_transliteration():
     for word, sound in (("धर्मक्षेत्रे", "dharmakṣetre"), ("योगः", "yogaḥ"), ("॥१-१॥", "||1-1||"), ("", "")):
         assert T.to_iast(word) == T.to_iast_by_syllable(word) == sound
+    for word, sound in (("क़लम", "qalama"), ("ज़", "za"), ("फ़िर", "fira"), ("ढ़ा", "ṛhā"), ("ऩ", "na"), ("्क", "ka"), ("क््", "k"), ("क़्", "q"), ("ळ", "ḷa")):
+        assert T.to_iast(word) == T.to_iast_by_syllable(word) == sound, word
+    for word in ("kḷptam", "qalam"):
+        assert T.to_devanagari(word) == T.to_devanagari_by_syllable(word)
     assert T.to_devanagari("dharmakṣetre") == T.to_devanagari_by_syllable("dharmakṣetre") == "धर्मक्षेत्रे"
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="".join(T.CONSONANTS) + "".join(T.VOWELS) + "".join(T.SIGNS) + T.VIRAMA + "ंः ।"))
+@given(st.text(alphabet="".join(T.CONSONANTS) + "".join(T.VOWELS) + "".join(T.SIGNS) + T.VIRAMA + T.NUKTA + "ंः ।"))
 def test_engines_agree(text):
     assert T.to_iast(text) == T.to_iast_by_syllable(text)
 

@@ -85,6 +85,8 @@ def test_poem():
     got = segmentation.verses_of(poem)
     assert [(x[0], x[2], x[3]) for x in got] == [(1, 1, "धृतराष्ट्र"), (2, 2, "सञ्जय")]
     assert not any("॥" in x[4] for x in got) and segmentation.verses_of("") == []
+    got = segmentation.verses_of("राजा भरत सिंह उवाच\nधर्मक्षेत्रे ॥१-१॥\nक ख ग घ उवाच\nकुरुक्षेत्रे ॥१-२॥")
+    assert [(x[3], x[4]) for x in got] == [("राजा भरत सिंह", "धर्मक्षेत्रे"), (None, "क ख ग घ उवाच\nकुरुक्षेत्रे")]
 
 
 def test_turns(spark):
@@ -101,13 +103,15 @@ def test_allocation(spark):
 
 
 def test_witness_verdicts():
-    assert witness.verdict("योगः\nकर्म", "yogaḥ", "karma") == ("MATCH", "")
+    assert witness.verdict("योगः\nकर्म", "yogaḥ", "karma") == ("MATCH", None, None, None, None)
     assert witness.verdict("तत्र आसीत्\nकर्म", "tatrāsīt", "karma")[0] == "SANDHI-JOINT"
     assert witness.verdict("योगः\nकर्म", "yogaḥ", None)[0] == "MISSING"
-    status, detail = witness.verdict("योगः\nकर्म", "bhogaḥ", "karma")
-    assert status == "DIVERGENCE" and detail.startswith("@0")
+    assert witness.verdict("योगः\nकर्म", "bhogaḥ", "karma") == ("DIVERGENCE", "first", 0, "yogaḥ", "bhogaḥ")
     assert witness.verdict("योगः", "a", "b")[0] == "DIVERGENCE" and witness.verdict(None, "a", "b")[0] == "DIVERGENCE"
-    assert witness.first_divergence("ab", "ab") == "" and witness.first_divergence("ab", "abc") == "common prefix 2, lengths 2 vs 3"
+    assert witness.first_divergence(["a", "b"], ["a", "b"]) is None and witness.first_divergence(["a", "b"], ["a", "b", "c"]) == (2, "ab", "abc")
+    for one, other in (("समःशत्रौ", "समश्शत्रौ"), ("शुभाँल्लोकान्", "शुभांलोकान्"), ("सम्बन्ध", "संबंध"), ("किम् अकुर्वत", "किंअकुर्वत"), ("ॐ", "ओं")):
+        assert witness.canonical(one) == witness.canonical(other), one
+    assert witness.canonical("कर्म") != witness.canonical("काम") and witness.joint("tat", "ca") == "tacca" and witness.joint("vane", "atra") == "vanetra" and witness.joint("naraḥ", "karoti") is None
     assert witness.joint("tatra", "iva") == "tatreva" and witness.joint("naraḥ", "gacchati") == "narogacchati" and witness.joint("tu", "pāṇḍava") is None
 
 
@@ -118,9 +122,10 @@ def test_witness_copies_with_headings(spark):
     assert cut("yogaḥ", None) == ("yogaḥ", None) == cut("vyāsa uvāca\nyogaḥ", None) and cut(None, None) == (None, None) and cut("a\nb\nc", None) is None
     ours = spark.createDataFrame([(k, "व्यास उवाच\nयोगः ।\nकर्म") for k in "abcde"], "id string, devanagari string")
     copies = [("a", "व्यास", "vyāsa uvāca\nyogaḥ |\nkarma"), ("b", "व्यास", "vyāsa uvāca\nyogaḥ |\nkāma"), ("c", None, "yogaḥ\nkarma"), ("d", None, "yogaḥ\nkarma\nkarma")]
-    got = {r.id: (r.status, r.detail) for r in witness.witness_diff(ours, spark.createDataFrame(copies, "id string, speaker string, iast string")).collect()}
+    got = {r.id: (r.status, r.position) for r in witness.witness_diff(ours, spark.createDataFrame(copies, "id string, speaker string, iast string")).collect()}
     assert {k: s for k, (s, _) in got.items()} == {"a": "MATCH", "b": "DIVERGENCE", "c": "MATCH", "d": "DIVERGENCE", "e": "MISSING"}
-    assert got["b"][1].startswith("@1") and got["d"][1] == "no two halves in the reading"
+    assert got["b"][1] == 1 and got["d"][1] is None
+    assert witness.is_heading("श्रीभगवानुवाच") and witness.is_heading("a b uvāca") and not witness.is_heading("uvāca") and not witness.is_heading("a b c uvāca")
 
 
 ALIGN = "chapter int, records array<struct<id:string,telang:array<struct<para:string,anchors:array<string>>>,arnold:string,arnold_shared:boolean,notes:string>>, dropped array<struct<para:string,reason:string>>"

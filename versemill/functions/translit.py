@@ -1,7 +1,8 @@
 """Devanagari to IAST and back: a state walker and, as a check on it, an engine that works on whole syllables.
 
 Both take and give composed text. Digits become ASCII digits, the danda a bar and the double danda two. What neither script
-knows passes unchanged. Known limit: a lone anusvara or visarga after a word-initial inherent vowel cannot be told from the
+knows passes unchanged; a virama without a consonant is dropped, a nukta makes another sound of its consonant, which the way
+back does not know. Known limit: a lone anusvara or visarga after a word-initial inherent vowel cannot be told from the
 bare sign, so a word-initial "aṃ" or "aḥ" loses its vowel on the way back; the round-trip query reports such words.
 """
 
@@ -20,33 +21,47 @@ SIGNS = dict(zip("ा ि ी ु ू ृ ॄ ॢ ॣ े ै ो ौ".split(),
 CONSONANTS = dict(
     zip(
         "क ख ग घ ङ च छ ज झ ञ ट ठ ड ढ ण त थ द ध न प फ ब भ म य र ल व श ष स ह ळ".split(),
-        "k kh g gh ṅ c ch j jh ñ ṭ ṭh ḍ ḍh ṇ t th d dh n p ph b bh m y r l v ś ṣ s h ḻ".split(),
+        "k kh g gh ṅ c ch j jh ñ ṭ ṭh ḍ ḍh ṇ t th d dh n p ph b bh m y r l v ś ṣ s h ḷ".split(),
     )
 )
 MARKS = {"ं": "ṃ", "ः": "ḥ", "ँ": "m̐", "ऽ": "'", "।": "|", "॥": "||", "ॐ": "oṃ"} | {chr(0x966 + i): str(i) for i in range(10)}
-VIRAMA = "्"
+VIRAMA, NUKTA = "्", "़"
+# fixed values: consonants that a nukta changes
+DOTTED = dict(zip("क ख ग ज झ ड ढ फ य ल".split(), "q kh ġ z zh ṛ ṛh f ẏ ḷ".split()))
+
+
+# fixed values: letters that composition makes of a consonant and a nukta
+_COMPOSED = {0x929: "न" + NUKTA, 0x931: "र" + NUKTA, 0x934: "ळ" + NUKTA}
+
+
+def _spelled(text: str) -> str:
+    """Composed text in which every nukta stands apart."""
+    return unicodedata.normalize("NFC", text).translate(_COMPOSED)
 
 
 def to_iast(text: str) -> str:
     """Character walker: a consonant waits for a sign, a virama or anything else, which brings out its inherent a."""
     out: list[str] = []
-    waiting = False
-    for ch in unicodedata.normalize("NFC", text):
-        if ch == VIRAMA and waiting:
-            waiting = False
+    waiting = ""  # the consonant whose vowel is still open
+    for ch in _spelled(text):
+        if ch == VIRAMA:
+            waiting = ""
+            continue
+        if ch == NUKTA and waiting:
+            out[-1] = DOTTED.get(waiting, CONSONANTS[waiting])
             continue
         if ch in SIGNS and waiting:
             out.append(SIGNS[ch])
-            waiting = False
+            waiting = ""
             continue
         if waiting:
             out.append("a")
-        waiting = ch in CONSONANTS
+        waiting = ch if ch in CONSONANTS else ""
         out.append(CONSONANTS.get(ch) or VOWELS.get(ch) or MARKS.get(ch) or SIGNS.get(ch) or ch)
-    return "".join(out) + "a" * waiting
+    return "".join(out) + "a" * bool(waiting)
 
 
-_SYLLABLE = re.compile(f"([{''.join(CONSONANTS)}])({VIRAMA}|[{''.join(SIGNS)}])?|([{''.join(VOWELS)}{''.join(MARKS)}{''.join(SIGNS)}])")
+_SYLLABLE = re.compile(f"([{''.join(CONSONANTS)}])({NUKTA}*)({VIRAMA}|[{''.join(SIGNS)}])?|([{''.join(VOWELS)}{''.join(MARKS)}{''.join(SIGNS)}])|{VIRAMA}")
 
 
 def to_iast_by_syllable(text: str) -> str:
@@ -54,15 +69,15 @@ def to_iast_by_syllable(text: str) -> str:
 
     def one(m: re.Match) -> str:
         if m[1]:
-            return CONSONANTS[m[1]] + ("" if m[2] == VIRAMA else SIGNS[m[2]] if m[2] else "a")
-        return VOWELS.get(m[3]) or SIGNS.get(m[3]) or MARKS[m[3]]
+            return (DOTTED if m[2] and m[1] in DOTTED else CONSONANTS)[m[1]] + ("" if m[3] == VIRAMA else SIGNS[m[3]] if m[3] else "a")
+        return "" if m[4] is None else VOWELS.get(m[4]) or SIGNS.get(m[4]) or MARKS[m[4]]
 
-    return _SYLLABLE.sub(one, unicodedata.normalize("NFC", text))
+    return _SYLLABLE.sub(one, _spelled(text))
 
 
 _SOUND_VOWEL = {v: k for k, v in VOWELS.items()}
 _SOUND_SIGN = {v: k for k, v in SIGNS.items()}
-_SOUND_CONSONANT = {v: k for k, v in CONSONANTS.items()}
+_SOUND_CONSONANT = {v: k for k, v in CONSONANTS.items() if v not in _SOUND_VOWEL}
 _SOUND_MARK = {"ṃ": "ं", "ḥ": "ः", "m̐": "ँ", "'": "ऽ", "||": "॥", "|": "।"} | {str(i): chr(0x966 + i) for i in range(10)}
 _TOKENS = sorted({*_SOUND_VOWEL, *_SOUND_CONSONANT, *_SOUND_MARK}, key=len, reverse=True)
 _TOKEN = re.compile("|".join(map(re.escape, _TOKENS)) + "|.", re.S)

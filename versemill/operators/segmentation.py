@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MARK = re.compile(r"॥\s*([०-९0-9]+)\s*[-–]\s*([०-९0-9]+)\s*॥")
-_SPEAKER = re.compile(r"^(\S+(?:\s+\S+)?)\s*उवाच")
 _HIDDEN = dict.fromkeys(map(ord, "​‌‍﻿­"))
 
 
+def _speaker(line: str) -> str | None:
+    """The name of up to three words that a line gives as the speaker's, "said" standing apart at its end; null for other lines."""
+    words = line.split()
+    name = words[:-1]
+    return " ".join(name) if words and words[-1] == "उवाच" and 1 <= len(name) <= 3 and not any(c in w for w in name for c in "।॥") else None
+
+
 def _number(digits: str) -> int:
     return int("".join(str(unicodedata.digit(d)) for d in digits))
 
@@ -33,7 +39,7 @@ def verses_of(poem: str) -> list[tuple[int, int, int, str | None, str]]:
         line = re.sub(r"<br\s*/?>|&nbsp;", " ", re.sub("''+", "", raw)).translate(_HIDDEN).strip()
         if not line:
             continue
-        mark, heading = _MARK.search(line), _SPEAKER.match(line)
+        mark, heading = _MARK.search(line), _speaker(line)
         if mark:
             held.append(_MARK.sub("", line).strip())
             text = unicodedata.normalize("NFC", "\n".join(x for x in held if x)).strip()
@@ -41,7 +47,7 @@ def verses_of(poem: str) -> list[tuple[int, int, int, str | None, str]]:
                 out.append((len(out) + 1, _number(mark[1]), _number(mark[2]), speaker, text))
             held, speaker, inside = [], None, True
         elif heading and not held:
-            speaker = heading[1].strip()
+            speaker = heading
         elif inside or speaker is not None or line.endswith("।"):
             inside = True
             held.append(line)

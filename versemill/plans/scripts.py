@@ -28,43 +28,86 @@ def query(sql: str | None = None):
     return keep
 
 
-@query()
+def _values(pairs) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in pairs)
+
+
+_LETTERS = [(c, x, "C") for c, x in T.CONSONANTS.items()] + [(c + T.NUKTA, T.DOTTED.get(c, x), "C") for c, x in T.CONSONANTS.items()]
+_LETTERS += [(c, x, "O") for c, x in T.VOWELS.items()] + [(c, x, "O") for c, x in T.MARKS.items()] + [(c, x, "S") for c, x in T.SIGNS.items()] + [(T.VIRAMA, "", "S")]
+_SOUNDS = [(x, c, "C") for c, x in T.CONSONANTS.items() if x not in T.VOWELS.values()] + [(x, c, "V") for c, x in T.VOWELS.items()]
+_SOUNDS += [(x, c, "O") for c, x in T.MARKS.items() if x != "oṃ"]
+_SIGN = [(x, c) for c, x in T.SIGNS.items()] + [("a", "")]
+_TOKENS = "|".join(x.replace("|", r"\|") for x, _, _ in sorted(_SOUNDS, key=lambda r: -len(r[0])))
+_SCRIPTS = f"letters(tok, sound, kind) AS (VALUES {_values(_LETTERS)}), sounds(tok, letter, kind) AS (VALUES {_values(_SOUNDS)}), signs(tok, sign) AS (VALUES {_values(_SIGN)})"
+
+
+def _cut(name: str, source: str, column: str, pattern: str) -> str:
+    """Tokens of a column in order, each with its place."""
+    pattern = pattern.replace("'", "''")
+    return f"{name} AS (SELECT key, unnest(toks) AS tok, generate_subscripts(toks, 1) AS p FROM (SELECT key, regexp_extract_all({column}, '{pattern}') AS toks FROM {source}))"
+
+
+def _iast_sql(name: str, source: str, column: str) -> str:
+    """CTEs that end in name(key, text): a consonant has its a unless a sign or a virama comes next."""
+    spelled = f"""{name}_s AS (SELECT key, p, coalesce(l.sound, t.tok) || CASE WHEN l.kind = 'C' AND coalesce(lead(l.kind) OVER w, 'O') <> 'S' THEN 'a' ELSE '' END AS x FROM {name}_t t LEFT JOIN letters l ON t.tok = l.tok WINDOW w AS (PARTITION BY key ORDER BY p))"""
+    apart = f"nfc_normalize({column})"
+    for code, letters in T._COMPOSED.items():
+        apart = f"replace({apart}, '{chr(code)}', '{letters}')"
+    return f"{_cut(name + '_t', source, apart, f'(?s)[{"".join(T.CONSONANTS)}]{T.NUKTA}?|.')}, {spelled}, {name} AS (SELECT key, string_agg(x, '' ORDER BY p) AS text FROM {name}_s GROUP BY key)"
+
+
+def _devanagari_sql(name: str, source: str, column: str) -> str:
+    """CTEs that end in name(key, text): a vowel after a consonant is a sign, a consonant without one gets a virama."""
+    joined = f"""{name}_j AS (SELECT key, p, t.tok, s.kind, s.letter, lag(s.kind) OVER w AS before, lead(s.kind) OVER w AS following FROM {name}_t t LEFT JOIN sounds s ON t.tok = s.tok WINDOW w AS (PARTITION BY key ORDER BY p))"""
+    spelled = f"""{name}_s AS (SELECT key, p, CASE WHEN kind = 'V' AND before = 'C' THEN coalesce(g.sign, '') WHEN kind = 'C' THEN letter || CASE WHEN following = 'V' THEN '' ELSE '{T.VIRAMA}' END ELSE coalesce(letter, j.tok) END AS x FROM {name}_j j LEFT JOIN signs g ON j.tok = g.tok)"""
+    return f"{_cut(name + '_t', source, f'nfc_normalize({column})', f'(?s){_TOKENS}|.')}, {joined}, {spelled}, {name} AS (SELECT key, string_agg(x, '' ORDER BY p) AS text FROM {name}_s GROUP BY key)"
+
+
+_BOTH = f"WITH {_SCRIPTS}, v AS (SELECT row_id AS key, devanagari, iast FROM verses), {_iast_sql('i', 'v', 'devanagari')}, {_devanagari_sql('d', 'v', 'iast')}"
+_WRITTEN = "SELECT v.key AS row_id, CASE WHEN v.devanagari = '' THEN '' ELSE i.text END AS iast, CASE WHEN v.iast = '' THEN '' ELSE d.text END AS devanagari FROM v LEFT JOIN i ON v.key = i.key LEFT JOIN d ON v.key = d.key"
+
+
+@query(f"{_BOTH} {_WRITTEN}")
 def transliterate(spark, folder):
-    """TR1, TR2: every verse field in the other script."""
+    """TR1, TR2, SO7: every verse field in the other script."""
     v = table(spark, folder, "verses")
     return v.select("row_id", T.as_column(T.to_iast, F.col("devanagari")).alias("iast"), T.as_column(T.to_devanagari, F.col("iast")).alias("devanagari"))
 
 
-@query()
+@query(f"""{_BOTH}, {_devanagari_sql('di', 'i', 'text')}, {_iast_sql('id', 'd', 'text')}
+SELECT v.key AS row_id, 'devanagari' AS field, v.devanagari AS original, di.text AS back FROM v JOIN di ON v.key = di.key WHERE v.devanagari <> di.text
+UNION ALL SELECT v.key, 'iast', v.iast, id.text FROM v JOIN id ON v.key = id.key WHERE v.iast <> id.text""")
 def roundtrip(spark, folder):
-    """TR5, DQ14: plainly coded verses that do not come back from the other script."""
-    v = table(spark, folder, "verses").select("row_id", "devanagari")
-    back = T.as_column(lambda t: T.to_devanagari(T.to_iast(t)), F.col("devanagari"))
-    return v.withColumn("back", back).where("devanagari <> back").select("row_id", "devanagari", "back")
+    """TR5, DQ14: verse fields that do not come back from the other script, either way."""
+    v = table(spark, folder, "verses")
+    ways = {"devanagari": lambda t: T.to_devanagari(T.to_iast(t)), "iast": lambda t: T.to_iast(T.to_devanagari(t))}
+    each = [v.select("row_id", F.lit(c).alias("field"), F.col(c).alias("original"), T.as_column(way, F.col(c)).alias("back")) for c, way in ways.items()]
+    return each[0].unionByName(each[1]).where("original <> back")
 
 
-@query("SELECT 0::BIGINT AS to_iast, 0::BIGINT AS to_devanagari, count(*) AS strings FROM verses")
+@query(f"""{_BOTH}, w AS ({_WRITTEN}) SELECT 0::BIGINT AS to_iast, 0::BIGINT AS to_devanagari, count(*) AS strings, sum(length(iast))::BIGINT AS iast_chars, sum(length(devanagari))::BIGINT AS devanagari_chars FROM w""")
 def engine_differential(spark, folder):
-    """TR3, TR4, TR6: strings on which the two engines differ, over all verses."""
+    """TR3, TR4, TR6: strings on which the two engines differ, over all verses, and how much the second one wrote."""
     v = table(spark, folder, "verses")
     one, two = T.as_column(T.to_iast, F.col("devanagari")), T.as_column(T.to_iast_by_syllable, F.col("devanagari"))
     three, four = T.as_column(T.to_devanagari, F.col("iast")), T.as_column(T.to_devanagari_by_syllable, F.col("iast"))
-    both = v.select((~one.eqNullSafe(two)).alias("a"), (~three.eqNullSafe(four)).alias("b"))
-    return both.agg(F.count_if("a").alias("to_iast"), F.count_if("b").alias("to_devanagari"), F.count("*").alias("strings"))
+    both = v.select((~one.eqNullSafe(two)).alias("a"), (~three.eqNullSafe(four)).alias("b"), F.length(two).alias("m"), F.length(four).alias("n"))
+    return both.agg(F.count_if("a").alias("to_iast"), F.count_if("b").alias("to_devanagari"), F.count("*").alias("strings"), F.sum("m").alias("iast_chars"), F.sum("n").alias("devanagari_chars"))
 
 
 def _readings(spark, folder):
     copy = table(spark, folder, "triptych").select(F.explode("sanskrit").alias("s")).select("s.id", "s.speaker", "s.iast")
-    return copy.groupBy("id").agg(F.min("speaker").alias("speaker"), F.min("iast").alias("iast"))
+    one = copy.groupBy("id").agg(F.min(F.struct(F.coalesce("iast", F.lit("")).alias("iast"), F.coalesce("speaker", F.lit("")).alias("speaker"))).alias("c"))
+    return one.select("id", F.nullif("c.speaker", F.lit("")).alias("speaker"), F.nullif("c.iast", F.lit("")).alias("iast"))
 
 
 @query()
 def witness_diff(spark, folder):
-    """TR7-TR10, LX12, FN-S11, FN-S12, FN-S16, AG8: the text against its copy's IAST."""
+    """TR7-TR10, LX12, FN-S11, FN-S12, FN-S16, AG8: the text against its copy's IAST, the whole text of both."""
     return witness.witness_diff(units(spark, folder), _readings(spark, folder))
 
 
-@query(_CURRENT + ", c AS (SELECT s.id, min(s.speaker) AS theirs FROM (SELECT unnest(sanskrit) AS s FROM triptych) GROUP BY s.id) SELECT u.id, u.speaker AS ours, c.theirs FROM units u JOIN c ON u.id = c.id WHERE u.speaker IS NOT NULL AND c.theirs IS NOT NULL AND NOT contains(u.speaker, c.theirs) AND NOT contains(c.theirs, u.speaker)")
+@query(_CURRENT + ", c AS (SELECT id, nullif(c.speaker, '') AS theirs FROM (SELECT s.id, min({'iast': coalesce(s.iast, ''), 'speaker': coalesce(s.speaker, '')}) AS c FROM (SELECT unnest(sanskrit) AS s FROM triptych) GROUP BY s.id)) SELECT u.id, u.speaker AS ours, c.theirs FROM units u JOIN c ON u.id = c.id WHERE u.speaker IS NOT NULL AND c.theirs IS NOT NULL AND NOT contains(u.speaker, c.theirs) AND NOT contains(c.theirs, u.speaker)")
 def speaker_notes(spark, folder):
     """FLT17: speakers that the copy names otherwise."""
     return witness.speaker_notes(units(spark, folder), _readings(spark, folder))
@@ -78,7 +121,11 @@ def _poems(spark, folder):
     return u.groupBy("ch").agg(F.array_join(lines, "\n").alias("poem"))
 
 
-@query()
+_LINES = r"regexp_replace(regexp_replace(regexp_replace(x, chr(39) || chr(39) || '+', '', 'g'), '<br\s*/?>|&nbsp;', ' ', 'g'), '[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{00AD}]', '', 'g')"
+
+
+@query(_CURRENT + rf""", full_ AS (SELECT * FROM units WHERE devanagari IS NOT NULL AND trim(devanagari, E' \t\r\n\f') <> '')
+SELECT ch, row_number() OVER (PARTITION BY ch ORDER BY n)::INT AS n, ch AS marked_ch, n AS marked_n, speaker, nfc_normalize(array_to_string(list_filter(list_transform(string_split(devanagari, chr(10)), lambda x: regexp_replace({_LINES}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> ''), chr(10))) AS devanagari FROM full_""")
 def parse_poems(spark, folder):
     """SEG1, WN1, WN10, FN-S8: chapters written as poems with markers and cut into verses again."""
     return segmentation.parsed_poems(_poems(spark, folder))
