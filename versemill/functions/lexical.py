@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -19,20 +20,90 @@ oneself un re along""".split()
 KEPT = ("nothing", "something", "everything", "anything")
 DIS_ROOTS = ("like", "agree", "approve", "comfort", "trust", "honest", "loyal", "regard", "respect", "obey", "please", "appear")
 UN_WORDS = ("until", "unless")
-#: Endings in the order they are tried: pattern of the end, least length of the word, characters cut, what is put there.
+# fixed values: endings in the order they are tried, each with the least length of the word, the characters cut and what is put
+# there; order and lengths must stay as they are for stems to equal those of other editions of a corpus
 ENDINGS = (
     ("ies$", 5, 3, "i"), ("lves$", 7, 4, "lf"), ("ied$", 6, 3, "i"), ("sses$", 4, 2, ""), ("(sh|ch|x|z)es$", 3, 2, ""), ("es$", 5, 1, ""), ("[^s]s$", 4, 1, ""),
     ("[^aeiou]y$", 4, 1, "i"), ("^.{0,4}$", 0, 0, ""), ("eth$", 7, 3, ""), ("e$", 6, 1, ""), ("ingly$", 9, 5, ""), ("edly$", 8, 4, ""), ("ing$", 7, 3, ""), ("ed$", 6, 2, ""), ("es$", 6, 2, ""), ("ly$", 6, 2, ""),
 )
 
 
+# fixed values: other names of persons
+ALIASES = dict(
+    x.split(">")
+    for x in """sanjaya>sanjaya sawaya>sanjaya sanjay>sanjaya dhritarashtra>dhritarashtra dhritarashtr>dhritarashtra krishna>krishna
+madhusudan>krishna driver>krishna madhusudana>krishna janardana>krishna keshava>krishna kesava>krishna govinda>krishna
+hrishikesha>krishna arjuna>arjuna partha>arjuna parantapa>arjuna scourge>arjuna dhananjaya>arjuna kaunteya>arjuna gudakesha>arjuna
+bharata>arjuna bhishma>bhishma drona>drona""".split()
+)
+# fixed values: families of verbs; before the bar those inflected by rule, after it their other forms; a later family wins
+FAMILIES = """say: say ask tell speak address answer reply utter declare | said told spoke spoken spake
+see: see behold perceive look comprehend find grasp | saw seen beheld found
+slay: slay kill smite | slew slain smote smitten
+fight: fight battle | fought war
+know: know understand | knew known understood knower knowers
+do: do perform | does did done doing wrought
+go: go repair proceed tread walk cease stop | goes went gone halt
+come: come | came
+think: think seem | thought
+feel: feel | felt
+give: give bestow renounce | gave given renunciation
+take: take seek cast arise receive accept seize | took taken sought arose arisen
+make: make | made maker makers
+die: die perish | dying dead death mortal
+live: live | alive
+grieve: grieve mourn lament sorrow weep | wept
+win: win conquer prevail obtain | won victory triumph conquest
+hear: hear listen | heard hark
+want: want desire wish crave covet long | ambitious aspirant
+leave: leave abandon forsake relinquish drop desert resign submit yield | left abandonment forsook forsaken renounce quit refusal submitted
+begin: begin commence start | began begun beginning"""
+# fixed values: old words and what is said today
+ARCHAIC = dict(
+    x.split(">")
+    for x in """assembled>gather assemble>gather desirous>eager rended>tear rent>torn resound>echo resounded>echo behest>command
+vanquish>defeat vanquished>defeat verily>truly perchance>perhaps whence>where thither>there hither>here betwixt>between
+amongst>among amidst>amid ere>before oft>often turbid>troubled dejected>despair overcome>overwhelm kinsmen>kin
+lawlessness>lawless unrighteousness>lawless steadfast>steady discern>know felicity>happy blissful>happy wretched>miserable
+sordid>miserable eschew>avoid shun>avoid fain>gladly anon>soon mantle>cloak vesture>garment raiment>garment smite>strike
+smitten>strike wrought>do dight>adorn""".split()
+)
+
+
+def inflected(verb: str) -> list[str]:
+    """The regular forms of a verb."""
+    soft = bool(re.search("[^aeiou]y$", verb))
+    short = bool(re.fullmatch("[^aeiou]*[aeiou][^aeiouwxy]", verb))
+    s = verb[:-1] + "ies" if soft else verb + ("es" if re.search("(s|x|z|ch|sh)$", verb) else "s")
+    ed = verb[:-1] + "ied" if soft else verb + "d" if verb.endswith("e") else verb + verb[-1] * short + "ed"
+    ing = verb[:-1] + "ing" if re.search("[^e]e$", verb) else verb + verb[-1] * short + "ing"
+    return [verb, s, ed, ing]
+
+
+def family_forms(families: str = FAMILIES) -> dict[str, str]:
+    """Form to the name of its family."""
+    out: dict[str, str] = {}
+    for line in families.splitlines():
+        name, words = line.split(":")
+        verbs, _, others = words.partition("|")
+        out |= {form: name for verb in verbs.split() for form in inflected(verb)} | {form: name for form in others.split()}
+    return out
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """What a corpus brings along: other spellings of names, forms of irregular words, and lists that may be replaced."""
+    """What a corpus brings along: other names, forms of words, and what stands for what; each may be replaced.
+
+    concepts are sets of words that stand for each other, terms words of the other language with their glosses; both are long
+    lists of an edition and come from a file (sources.readers.lexicon), none are built in.
+    """
 
-    aliases: dict[str, str] = field(default_factory=dict)
-    forms: dict[str, str] = field(default_factory=lambda: {"said": "say", "spoke": "speak", "spoken": "speak", "saw": "see", "seen": "see", "knew": "know", "known": "know", "gave": "give", "given": "give", "went": "go", "gone": "go"})
+    aliases: dict[str, str] = field(default_factory=lambda: dict(ALIASES))
+    forms: dict[str, str] = field(default_factory=family_forms)
     stopwords: tuple[str, ...] = tuple(STOPWORDS)
+    archaic: dict[str, str] = field(default_factory=lambda: dict(ARCHAIC))
+    concepts: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    terms: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 def stem(word: Column) -> Column:
@@ -60,13 +131,19 @@ def normalized(words: Column, lexicon: Lexicon) -> Column:
     words = F.transform(words, lambda w: F.coalesce(negation_root(w), w))
     for table in (lexicon.aliases, lexicon.forms):
         if table:
-            known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
-            words = _looked_up(words, known)
+            words = _looked_up(words, table)
     return F.transform(words, stem)
 
 
-def _looked_up(words: Column, known: Column) -> Column:
-    return F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w))
+def _looked_up(words: Column, table: dict[str, str]) -> Column:
+    """The map is searched only for the few words that a hash set holds."""
+    known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    return F.transform(words, lambda w: F.when(w.isin(*table), F.try_element_at(known, w)).otherwise(w))
+
+
+def normalized_word(word: Column, lexicon: Lexicon) -> Column:
+    """One word by the same path."""
+    return normalized(F.array(word), lexicon)[0]
 
 
 def plain_words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.functions.lexical import Lexicon, lemmas
+from versemill.functions.lexical import Lexicon, lemmas, normalized_word, stem
 from versemill.runtime import stored
 
 
@@ -38,10 +38,16 @@ def contexts(align: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.groupBy("id").agg(F.array_join(parts, "\n\n").alias("context"))
 
 
-def stanza_of(align: DataFrame, pages: DataFrame) -> DataFrame:
-    """(id, stanza): by a letter and the stanza's number after the heading; malformed codes and numbers beyond give none (JN9)."""
+# fixed values: speakers whose name with a point opens a stanza
+LABELS = ("Sanjaya", "Krishna", "Arjuna", "Dhritarashtra")
+
+
+def stanza_of(align: DataFrame, pages: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """(id, stanza): by a letter and the stanza's number after the heading, without a speaker's label; malformed codes and
+    numbers beyond give none (JN9)."""
     coded = records(align).where(F.col("arnold").rlike("^[A-Z][0-9]{1,6}$")).select("chapter", "id", F.substring("arnold", 2, 6).cast("int").alias("k"))
-    return coded.join(stanzas(pages), ["chapter", "k"]).select("id", F.col("text").alias("stanza"))
+    text = F.regexp_replace("text", rf"^({'|'.join(labels)})\.[ \t\r\n]*", "")
+    return coded.join(stanzas(pages), ["chapter", "k"]).select("id", text.alias("stanza"))
 
 
 def unfound_anchors(align: DataFrame, pages: DataFrame) -> DataFrame:
@@ -81,63 +87,120 @@ def nameless_lemma_rows(texts: DataFrame, key: str, text: str, lexicon: Lexicon
     return kept.select(key, F.explode(lemmas(F.col("word"), lexicon)).alias("lemma")).distinct()
 
 
-def expanded(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
-    """(key, lemma): the lemmas and, one step, what the edges (lemma, also) add; not transitive (LX6, ST3)."""
-    return rows.unionByName(rows.join(edges, "lemma").select(key, F.col("also").alias("lemma"))).distinct()
+def expanded(rows: DataFrame, key: str | list[str], edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(key, lemma): the lemmas and, one step, what the edges (lemma, also) add; not transitive (LX6, ST3).
+
+    Lemmas of six letters or more that no term (lemma, also) is, are first read as the term they are a misreading of (JN20).
+    """
+    keys = [key] if isinstance(key, str) else key
+    grown = rows.unionByName(rows.join(edges, "lemma").select(*keys, F.col("also").alias("lemma")))
+    if terms is not None:
+        near = near_terms(rows.select("lemma"), terms.select(F.col("lemma").alias("term")))
+        glossed = near.join(terms.withColumnRenamed("lemma", "term"), "term").select("lemma", "also")
+        grown = grown.unionByName(rows.join(glossed.unionByName(terms), "lemma").select(*keys, F.col("also").alias("lemma")))
+    return grown.distinct()
 
 
 def synonym_edges(glossary: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
-    """(lemma, also): renderings of one term stand for each other, in both directions (LX6)."""
-    terms = glossary.where("term is not null and rendering is not null and term not like '\\\\_%'").select("term", F.explode(lemmas(F.col("rendering"), lexicon)).alias("lemma")).distinct()
-    pair = terms.join(terms.select("term", F.col("lemma").alias("also")), "term").where("lemma <> also")
-    return pair.select("lemma", "also").distinct()
-
-
-def coverage(ours: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """(key, total, covered, uncovered): our lemmas found in the source of the same key, exactly or, from seven letters on,
-    within two edits (LX9, LX10, AG15, JN19, ST1, ST2). Only keys with lemmas have a row; without a source 0 are covered."""
-    exact = ours.join(source.distinct().withColumn("hit", F.lit(True)), [key, "lemma"], "left")
-    near = exact.where("hit is null and length(lemma) >= 7").select(key, "lemma").join(source.where("length(lemma) >= 7").select(key, F.col("lemma").alias("other")), key)
-    near = near.where((F.abs(F.length("lemma") - F.length("other")) <= 2) & (F.levenshtein("lemma", "other", 2) >= 0)).select(key, "lemma").distinct().withColumn("fuzzy", F.lit(True))
-    both = exact.join(near, [key, "lemma"], "left").withColumn("ok", F.coalesce("hit", "fuzzy", F.lit(False)))
+    """(lemma, also): a term and its rendering stand for each other; old words for today's; members of a concept for all its
+    members (LX6). Words of the lexicon take the path of lemmas, terms and renderings only lose their ending."""
+    spark = glossary.sparkSession
+    good = glossary.where("term is not null and rendering is not null and term not like '\\\\_%'")
+    pair = good.select(stem(F.lower("term")).alias("lemma"), stem(F.lower("rendering")).alias("also"))
+    pair = pair.unionByName(pair.select(F.col("also").alias("lemma"), F.col("lemma").alias("also")))
+    fixed = [*lexicon.archaic.items(), *((x, y) for words in lexicon.concepts.values() for x in words for y in words)]
+    if fixed:
+        own = spark.createDataFrame(fixed, "x string, y string")
+        pair = pair.unionByName(own.select(normalized_word(F.col("x"), lexicon).alias("lemma"), normalized_word(F.col("y"), lexicon).alias("also")))
+    return pair.where("lemma <> also and lemma <> '' and also <> ''").distinct()
+
+
+def term_glosses(glossary: DataFrame, lexicon: Lexicon) -> DataFrame | None:
+    """(lemma, also): terms of the lexicon and the words of their glosses; null without any."""
+    rows = [(term, word) for term, words in lexicon.terms.items() for word in words]
+    if not rows:
+        return None
+    own = glossary.sparkSession.createDataFrame(rows, "x string, y string")
+    return own.select(normalized_word(F.col("x"), lexicon).alias("lemma"), normalized_word(F.col("y"), lexicon).alias("also")).distinct()
+
+
+def matched(ours: DataFrame, source: DataFrame, on: list[str]) -> DataFrame:
+    """(on, lemma, ok): whether the source of the same key has our lemma, exactly or, from seven letters on, within two edits.
+
+    Only lemmas without an exact hit are looked for in like ones, which they meet on a part that edits left whole.
+    """
+    exact = stored(ours.join(source.select(*on, "lemma").distinct().withColumn("hit", F.lit(True)), [*on, "lemma"], "left"))
+    long = exact.where("hit is null and length(lemma) >= 7").select(*on, "lemma")
+    near = _near_pairs(long, source.where("length(lemma) >= 7").select(*on, F.col("lemma").alias("term")).distinct(), on)
+    near = near.where(F.levenshtein("lemma", "term", 2) >= 0).select(*on, "lemma").distinct().withColumn("fuzzy", F.lit(True))
+    return exact.join(near, [*on, "lemma"], "left").select(*on, "lemma", F.coalesce("hit", "fuzzy", F.lit(False)).alias("ok"))
+
+
+def coverage(ours: DataFrame, source: DataFrame, key: str, units: DataFrame | None = None) -> DataFrame:
+    """(key, total, covered, share, uncovered): our lemmas found in the source of the same key (LX9, LX10, AG15, JN19, ST1, ST2).
+
+    Units without lemmas have a share of 1; without `units` (key) they have no row. Without a source nothing is covered.
+    """
     left = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("lemma")))), " ")
-    return both.groupBy(key).agg(F.count("*").alias("total"), F.count_if("ok").alias("covered"), left.alias("uncovered"))
+    out = matched(ours, source, [key]).groupBy(key).agg(F.count("*").alias("total"), F.count_if("ok").alias("covered"), left.alias("uncovered"))
+    if units is not None:
+        out = units.select(key).distinct().join(out, key, "left")
+    zero = F.lit(0)
+    return out.select(key, F.coalesce("total", zero).alias("total"), F.coalesce("covered", zero).alias("covered"), F.coalesce(F.col("covered") / F.col("total"), F.lit(1.0)).alias("share"), F.coalesce("uncovered", F.lit("")).alias("uncovered"))
 
 
 def verdicts(units: DataFrame, align: DataFrame, pages: DataFrame, glossary: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
-    """(id, status, total, covered_prose, covered_verse): how far two translations bear out a unit's meaning (LX11).
+    """(id, status, total, covered_prose, covered_verse, share_prose, share_verse, uncovered): how far two translations bear
+    out a unit's meaning (LX11).
 
     Half of the lemmas must be covered. In this order: fewer than three lemmas NAME-LIST, blank prose TELANG-ABSENT, no
-    stanza ARNOLD-ABSENT, both CONSENSUS, one SINGLE-SOURCE, none ORPHAN. Counts instead of rounded shares.
+    stanza ARNOLD-ABSENT, both CONSENSUS, one SINGLE-SOURCE, none ORPHAN. Shares have two places, ties to the even one, and
+    are null for a source that is absent or not asked. uncovered has the lemmas that the source in question leaves open: of
+    one source the other's, of none those that both leave open (ST4). Both sources go through one join and one aggregate.
     """
-    ours = stored(nameless_lemma_rows(units.where("meaning is not null").select("id", "meaning"), "id", "meaning", lexicon))
-    edges = stored(synonym_edges(glossary, lexicon))
     prose, verse = stored(contexts(align, pages)), stored(stanza_of(align, pages))
-    side = lambda df, text: coverage(ours, expanded(lemma_rows(df, "id", text, lexicon), "id", edges), "id")
-    a = side(prose, "context").select("id", "total", F.col("covered").alias("covered_prose"))
-    b = side(verse, "stanza").select("id", F.col("covered").alias("covered_verse"))
-    out = units.select("id").join(a, "id", "left").join(b, "id", "left")
-    out = out.join(prose.where("trim(context) <> ''").select("id", F.lit(True).alias("has_prose")), "id", "left").join(verse.select("id", F.lit(True).alias("has_verse")), "id", "left")
-    n, p, v = (F.coalesce(c, F.lit(0)) for c in ("total", "covered_prose", "covered_verse"))
-    status = F.when(n < 3, "NAME-LIST").when(F.col("has_prose").isNull(), "TELANG-ABSENT").when(F.col("has_verse").isNull(), "ARNOLD-ABSENT")
-    status = status.when((p * 2 >= n) & (v * 2 >= n), "CONSENSUS").when((p * 2 >= n) | (v * 2 >= n), "SINGLE-SOURCE").otherwise("ORPHAN")
-    return out.select("id", status.alias("status"), n.alias("total"), p.alias("covered_prose"), v.alias("covered_verse"))
+    ours = stored(nameless_lemma_rows(units.where("meaning is not null").select("id", "meaning"), "id", "meaning", lexicon))
+    rows = prose.select("id", F.lit("p").alias("side"), F.col("context").alias("text")).unionByName(verse.select("id", F.lit("v").alias("side"), F.col("stanza").alias("text")))
+    source = expanded(rows.select("id", "side", F.explode(lemmas(F.col("text"), lexicon)).alias("lemma")), ["id", "side"], synonym_edges(glossary, lexicon), term_glosses(glossary, lexicon))
+    both = ours.select("id", F.explode(F.lit(["p", "v"])).alias("side"), "lemma")
+    met = matched(both, stored(source), ["id", "side"])
+    of = lambda side: F.col("side") == side
+    open_ = lambda side: F.array_sort(F.collect_list(F.when(of(side) & ~F.col("ok"), F.col("lemma"))))
+    met = met.groupBy("id").agg(F.count_if(of("p")).alias("total"), F.count_if(of("p") & F.col("ok")).alias("p"), F.count_if(of("v") & F.col("ok")).alias("v"), open_("p").alias("open_p"), open_("v").alias("open_v"))
+    out = units.select("id").join(met, "id", "left")
+    out = out.join(prose.where("trim(context) <> ''").select("id", F.lit(True).alias("has_prose")).distinct(), "id", "left").join(verse.select("id", F.lit(True).alias("has_verse")).distinct(), "id", "left")
+    n, p, v = (F.coalesce(c, F.lit(0)) for c in ("total", "p", "v"))
+    names, no_prose, no_verse = n < 3, F.col("has_prose").isNull(), F.col("has_verse").isNull()
+    by_p, by_v = p * 2 >= n, v * 2 >= n
+    status = F.when(names, "NAME-LIST").when(no_prose, "TELANG-ABSENT").when(no_verse, "ARNOLD-ABSENT").when(by_p & by_v, "CONSENSUS").when(by_p | by_v, "SINGLE-SOURCE").otherwise("ORPHAN")
+    none = F.array().cast("array<string>")
+    left = F.when(names, none).when(no_prose, F.col("open_v")).when(no_verse, F.col("open_p")).when(by_p & by_v, none).when(by_p, F.col("open_v")).when(by_v, F.col("open_p")).otherwise(F.array_intersect("open_p", "open_v"))
+    share = lambda c, absent: F.when(~names & ~absent, F.bround(c / n, 2))
+    return out.select("id", status.alias("status"), n.alias("total"), p.alias("covered_prose"), v.alias("covered_verse"), share(p, no_prose).alias("share_prose"), share(v, no_verse & ~no_prose).alias("share_verse"), F.array_join(left, " ").alias("uncovered"))
+
+
+def _near_pairs(words: DataFrame, terms: DataFrame, on: list[str]) -> DataFrame:
+    """(on, lemma, term), distinct: pairs that may be within two edits. words(on, lemma), terms(on, term), of six letters or more.
+
+    A word within two edits of a term holds one of the term's three parts unchanged, moved by two letters at most: words and
+    terms meet on equal parts.
+    """
+    cut = lambda i: F.floor(F.length("term") * i / 3)
+    parts = F.array(*(F.struct(cut(i).alias("start"), F.substring("term", (cut(i) + 1).cast("int"), (cut(i + 1) - cut(i)).cast("int")).alias("piece")) for i in range(3)))
+    cuts = terms.select(*on, "term", F.inline(parts))
+    sizes = F.sequence(F.lit(2), (F.floor((F.length("lemma") + 2) / 3) + 1).cast("int"))  # of a term two letters longer
+    spots = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("lemma") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring("lemma", i, n).alias("piece")))))
+    met = words.select(*on, "lemma", F.inline(spots)).join(cuts, [*on, "piece"])
+    return met.where((F.abs(F.col("at") - 1 - F.col("start")) <= 2) & (F.abs(F.length("lemma") - F.length("term")) <= 2)).select(*on, "lemma", "term").distinct()
 
 
 def near_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     """(lemma, term): the first term, by alphabet, within two edits of a word of seven letters or more (the term having six
     or more), or within one of a word of six (the term having six); words that are terms themselves have no row (JN20, LX9).
 
-    A word within two edits of a term holds one of the term's three parts unchanged, moved by two letters at most: words
-    and terms meet on equal parts, then the distance decides. words(lemma), terms(term); nulls never meet.
+    words(lemma), terms(term); nulls never meet.
     """
     w = words.select("lemma").where("length(lemma) >= 6").distinct().join(terms.select(F.col("term").alias("lemma")).distinct(), "lemma", "left_anti")
-    t = terms.select("term").where("length(term) >= 6").distinct()
-    cut = lambda i: F.floor(F.length("term") * i / 3)
-    parts = F.array(*(F.struct(F.lit(i).alias("part"), cut(i).alias("start"), F.substring("term", (cut(i) + 1).cast("int"), (cut(i + 1) - cut(i)).cast("int")).alias("piece")) for i in range(3)))
-    t = t.select("term", F.inline(parts))
-    sizes = F.sequence(F.lit(2), (F.floor((F.length("lemma") + 2) / 3) + 1).cast("int"))  # of a term two letters longer
-    spots = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("lemma") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring("lemma", i, n).alias("piece")))))
-    met = w.select("lemma", F.inline(spots)).join(t, "piece").where(F.abs(F.col("at") - 1 - F.col("start")) <= 2).select("lemma", "term").distinct()
+    met = _near_pairs(w, terms.select("term").where("length(term) >= 6").distinct(), [])
     close = ((F.length("lemma") >= 7) & (F.levenshtein("lemma", "term", 2) >= 0)) | ((F.length("lemma") == 6) & (F.length("term") == 6) & (F.levenshtein("lemma", "term", 1) >= 0))
     return met.where(close).groupBy("lemma").agg(F.min("term").alias("term"))

@@ -108,7 +108,7 @@ def context_paragraphs(spark, folder):
 
 
 _STANZAS = r"""cut AS (SELECT chapter, list_filter(list_transform(regexp_split_to_array(arnold, '\n[ \t]*\n'), lambda s: regexp_replace(s, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), lambda s: s <> '') AS parts FROM triptych WHERE arnold IS NOT NULL),
-stanza AS (SELECT r.id, c.parts[substr(r.arnold, 2)::INT + 1] AS stanza FROM recs r JOIN cut c ON r.chapter = c.chapter WHERE regexp_matches(r.arnold, '^[A-Z][0-9]{1,6}$') AND substr(r.arnold, 2)::INT < len(c.parts))"""
+stanza AS (SELECT r.id, c.parts[substr(r.arnold, 2)::INT + 1].regexp_replace('^(Sanjaya|Krishna|Arjuna|Dhritarashtra)\\.[ \\t\\r\\n]*', '') AS stanza FROM recs r JOIN cut c ON r.chapter = c.chapter WHERE regexp_matches(r.arnold, '^[A-Z][0-9]{1,6}$') AND substr(r.arnold, 2)::INT < len(c.parts))"""
 
 
 @query(f"WITH {_RECORDS}, {_STANZAS} SELECT * FROM stanza")
@@ -175,13 +175,22 @@ def stem_tokens(spark, folder):
 
 
 _STOP = ", ".join(map(repr, L.STOPWORDS))
-_FORMS = "CASE {w} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.Lexicon().forms.items()) + " ELSE {w} END"
+
+
+def _map_sql(word: str, table: dict[str, str]) -> str:
+    return f"coalesce(MAP {{{', '.join(f"'{a}': '{b}'" for a, b in table.items())}}}[{word}], {word})"
+
+
+def _form_sql(word: str) -> str:
+    """A word by way of negation, alias and family."""
+    return _map_sql(_map_sql(f"coalesce({L.negation_sql(word)}, {word})", L.ALIASES), L.family_forms())
+
 
 
 def _lemmas_sql(source: str, key: str, text: str, out: str) -> str:
     """CTEs that end in out(key, lemma)."""
     clean = f"list_filter(string_split_regex(regexp_replace(regexp_replace(lower({text}), '\\^', '', 'g'), '[^a-z ]', ' ', 'g'), ' +'), lambda w: w <> '')"
-    form = _FORMS.format(w=f"coalesce({L.negation_sql('w')}, w)")
+    form = _form_sql("w")
     return f"""{out}_w AS (SELECT {key}, unnest({clean}) AS w FROM {source}), {out} AS (SELECT DISTINCT {key}, lemma FROM (
 SELECT {key}, {L.stem_sql('f')} AS lemma FROM (SELECT {key}, {form} AS f FROM {out}_w WHERE w NOT IN ({_STOP})) UNION ALL SELECT {key}, {L.stem_sql('f')} FROM (SELECT {key}, left(w, length(w) - 2) AS f FROM {out}_w WHERE length(w) > 5 AND w LIKE '%ily')) WHERE lemma <> '')"""
 
@@ -212,7 +221,9 @@ def names_stripped(spark, folder):
     return A.nameless_lemma_rows(table(spark, folder, "verses").select("row_id", "meaning"), "row_id", "meaning")
 
 
-_EDGES = "gl AS (SELECT term, rendering FROM glossary WHERE term IS NOT NULL AND rendering IS NOT NULL AND NOT starts_with(term, '_')), " + _lemmas_sql("gl", "term", "rendering", "gt") + ", edges AS (SELECT DISTINCT a.lemma, b.lemma AS also FROM gt a JOIN gt b ON a.term = b.term AND a.lemma <> b.lemma)"
+_OLD = f"SELECT {L.stem_sql('x')} AS lemma, {L.stem_sql('y')} AS also FROM (SELECT {_form_sql('x')} AS x, {_form_sql('y')} AS y FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in L.ARCHAIC.items())}) t(x, y))"
+_EDGES = f"""gl AS (SELECT {L.stem_sql('t')} AS t, {L.stem_sql('r')} AS r FROM (SELECT lower(term) AS t, lower(rendering) AS r FROM glossary WHERE term IS NOT NULL AND rendering IS NOT NULL AND NOT starts_with(term, '_'))),
+edges AS (SELECT DISTINCT lemma, also FROM (SELECT t AS lemma, r AS also FROM gl UNION ALL SELECT r, t FROM gl UNION ALL {_OLD}) WHERE lemma <> also AND lemma <> '' AND also <> '')"""
 
 
 @query(f"WITH src AS (SELECT ch || '/' || rendition || '/' || sent_no AS id, text FROM renderings), {_lemmas_sql('src', 'id', 'text', 'l')}, {_EDGES} SELECT id, lemma FROM l UNION SELECT l.id, e.also FROM l JOIN edges e ON l.lemma = e.lemma")
@@ -241,19 +252,21 @@ _SIDES = f"""{_CURRENT}, {_PARAS}, {_RECORDS}, {_CONTEXTS}, {_STANZAS}, mean AS
 {_lemmas_sql('ctx', 'id', 'context', 'p')}, {_lemmas_sql('stanza', 'id', 'stanza', 'a')}, px AS (SELECT * FROM p UNION SELECT p.id, e.also FROM p JOIN edges e ON p.lemma = e.lemma), ax AS (SELECT * FROM a UNION SELECT a.id, e.also FROM a JOIN edges e ON a.lemma = e.lemma), {_coverage_sql('cp', 'px')}, {_coverage_sql('ca', 'ax')}"""
 
 
-@query(_SIDES + " SELECT id, total, covered, uncovered FROM cp")
+@query(_SIDES + " SELECT DISTINCT u.id, coalesce(total, 0) AS total, coalesce(covered, 0) AS covered, coalesce(covered::DOUBLE / total, 1.0) AS share, coalesce(uncovered, '') AS uncovered FROM units u LEFT JOIN cp ON u.id = cp.id")
 def coverage_prose(spark, folder):
     """LX9, LX10, AG15, JN19, ST1, ST2: how much of each meaning its prose context covers."""
     mean = units(spark, folder).where("meaning is not null").select("id", "meaning")
     source = A.lemma_rows(A.contexts(table(spark, folder, "align"), table(spark, folder, "triptych")), "id", "context")
-    return A.coverage(A.nameless_lemma_rows(mean, "id", "meaning"), A.expanded(source, "id", A.synonym_edges(table(spark, folder, "glossary"))), "id")
+    return A.coverage(A.nameless_lemma_rows(mean, "id", "meaning"), A.expanded(source, "id", A.synonym_edges(table(spark, folder, "glossary"))), "id", units(spark, folder))
 
 
-@query(_SIDES + """ SELECT u.id, coalesce(cp.total, 0) AS total, coalesce(cp.covered, 0) AS covered_prose, coalesce(ca.covered, 0) AS covered_verse,
-CASE WHEN coalesce(cp.total, 0) < 3 THEN 'NAME-LIST' WHEN coalesce(trim(ctx.context), '') = '' THEN 'TELANG-ABSENT' WHEN s.stanza IS NULL THEN 'ARNOLD-ABSENT' WHEN cp.covered * 2 >= cp.total AND ca.covered * 2 >= cp.total THEN 'CONSENSUS' WHEN cp.covered * 2 >= cp.total OR ca.covered * 2 >= cp.total THEN 'SINGLE-SOURCE' ELSE 'ORPHAN' END AS status
-FROM units u LEFT JOIN cp ON u.id = cp.id LEFT JOIN ca ON u.id = ca.id LEFT JOIN ctx ON u.id = ctx.id LEFT JOIN stanza s ON u.id = s.id""")
+@query(_SIDES + """, j AS (SELECT u.id, coalesce(cp.total, 0) AS n, coalesce(cp.covered, 0) AS p, coalesce(ca.covered, 0) AS v, coalesce(trim(ctx.context), '') = '' AS no_prose, s.stanza IS NULL AS no_verse,
+coalesce(string_split(nullif(cp.uncovered, ''), ' '), []) AS op, coalesce(string_split(nullif(ca.uncovered, ''), ' '), []) AS ov FROM units u LEFT JOIN cp ON u.id = cp.id LEFT JOIN ca ON u.id = ca.id LEFT JOIN ctx ON u.id = ctx.id LEFT JOIN (SELECT DISTINCT id, true AS stanza FROM stanza) s ON u.id = s.id),
+k AS (SELECT *, CASE WHEN n < 3 THEN 'NAME-LIST' WHEN no_prose THEN 'TELANG-ABSENT' WHEN no_verse THEN 'ARNOLD-ABSENT' WHEN p * 2 >= n AND v * 2 >= n THEN 'CONSENSUS' WHEN p * 2 >= n OR v * 2 >= n THEN 'SINGLE-SOURCE' ELSE 'ORPHAN' END AS status FROM j)
+SELECT id, status, n AS total, p AS covered_prose, v AS covered_verse, CASE WHEN n >= 3 AND NOT no_prose THEN round_even(p::DOUBLE / n, 2) END AS share_prose, CASE WHEN n >= 3 AND (no_prose OR NOT no_verse) THEN round_even(v::DOUBLE / n, 2) END AS share_verse,
+array_to_string(CASE status WHEN 'NAME-LIST' THEN [] WHEN 'CONSENSUS' THEN [] WHEN 'TELANG-ABSENT' THEN ov WHEN 'ARNOLD-ABSENT' THEN op WHEN 'SINGLE-SOURCE' THEN CASE WHEN p * 2 >= n THEN ov ELSE op END ELSE list_filter(op, lambda x: list_contains(ov, x)) END, ' ') AS uncovered FROM k""")
 def consensus_verdicts(spark, folder):
-    """LX11, ST4: the verdict ladder."""
+    """LX11, ST4: the verdict ladder, with shares and what is left uncovered."""
     return A.verdicts(units(spark, folder), *(table(spark, folder, t) for t in ("align", "triptych", "glossary")))
 
 
