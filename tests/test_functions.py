@@ -73,7 +73,12 @@ def test_numerals_have_no_end(spark):
 def test_markup(spark):
     assert values(spark, C.without_markup, ["a<ref>x</ref> b <math>\\mbox{Dh}ri</math><br/>c", None]) == ["a b Dhri c", None]
     assert values(spark, C.poems, ["x<poem>a\nb</poem>y<poem>c</poem>"]) == ["a\nb\nc"]
-    assert values(spark, C.clean_scan, ["the for-\nest\n43\nCHAPTER I, 57.\nis deep", "12"]) == ["the forest\nis deep", ""]
+    assert values(spark, C.without_markup, ["x <math>\\alpha\\mbox{b}</math> \\y <math>open \\z", "<math>a</math><math>\\b</math>"]) == ["x alphab \\y open \\z", "ab"]
+    assert values(spark, C.clean_scan, ["the for-\nest\n43\nB H AGAVAD\nARJUNA ASKED\nis deep", "12"]) == ["the forest\nARJUNA ASKED\nis deep", ""]
+    paras = ["BIIAGAVADCfrA", "ClIAl'TKR", "0 best of\nmen", "CHAPTER I, 57.", "Chapter II", "K 2", "43", "", "Bhagavad said so", None, "CHAPTERS of the book are many and long, they say."]
+    assert values(spark, C.scan_paragraph, paras) == [None, None, "best of men", None, None, None, None, None, "Bhagavad said so", None, paras[-1]]
+    assert values(spark, C.is_residue, ["THE END", "THE End", "12", None]) == [True, False, False, None]
+    assert values(spark, lambda t: C.is_running_headline(t, F.lit(1)), ["CHAPTER I\n\n 43 \nx", "CHAPTER I\nx\n43", "CHAPTER I"]) == [True, False, False]
     assert values(spark, C.looks_footnote, ["* note", "Literally, so", "Katha, p. 114", "The road is long."]) == [True, True, True, False]
 
 

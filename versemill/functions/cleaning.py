@@ -31,9 +31,16 @@ def without_tags(text: Column) -> Column:
 def without_markup(text: Column) -> Column:
     """References dropped, math unwrapped, other tags a space, runs of blanks one (FN-S1)."""
     text = F.regexp_replace(text, r"(?s)<ref[^>/]*>.*?</ref>|<ref[^>]*/>", "")
-    text = F.regexp_replace(text, r"\\mbox\{([^}]*)\}", "$1")
-    text = F.regexp_replace(F.regexp_replace(text, r"</?math>", ""), r"<[^>]+>", " ")
-    return stripped(F.regexp_replace(text, "[ \t]+", " "))
+
+    def plain_math(part: Column, k: Column) -> Column:
+        """What follows an opening tag: up to the closing one without boxes and backslashes, then as it is."""
+        inner = F.substring_index(part, "</math>", 1)
+        rest = F.substring(part, F.length(inner) + len("</math>") + 1, F.length(part))
+        bare = F.replace(F.regexp_replace(inner, r"\\mbox\{([^}]*)\}", "$1"), F.lit("\\"), F.lit(""))
+        return F.when(k == 0, part).when(F.contains(part, F.lit("</math>")), F.concat(bare, rest)).otherwise(F.concat(F.lit(" "), part))
+
+    text = F.array_join(F.transform(F.split(text, "<math>"), plain_math), "")
+    return stripped(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), "[ \t]+", " "))
 
 
 def clean_line(line: Column) -> Column:
@@ -47,19 +54,51 @@ def poems(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(r"(?s)<poem>(.*?)</poem>"), F.lit(1)), "\n")
 
 
+# fixed values: how scans print the book's running head, a chapter's mark or a signature, and what is left of misread chapter marks
+HEAD_LINE, HEAD_WORD = r"^B[IHA]{2,}[A-Z.]*$", "^b.*gav?a?d"
+MARK = r"^[0-9]{1,3}$|^\.?(?i:chapter)[ \t]+[IVXivx]+[ \t]*,?[ \t]*[^ \t]{0,8}\.?$|^[A-Za-z][ \t]+[0-9]{1,3}$"
+MARK_PARTS = ("APTER", "TKR")
+
+
 def is_page_matter(line: Column) -> Column:
-    """A line that is a lone page number, a chapter head, a signature or capitals only (FLT10-FLT13)."""
-    s = stripped(line)
-    return s.rlike(r"^[0-9]{1,3}$|^(?i:chapter)[ ]+[IVXLCivxlc]+[ ,.0-9]*$|^[A-Za-z][ ]+[0-9]{1,3}$") | ((F.length(s) < 40) & s.rlike("[A-Z]") & ~s.rlike("[a-z]"))
+    """A line that is a lone page number or the book's running head (FN-S4)."""
+    return stripped(line).rlike("^[0-9]{1,3}$") | F.replace(stripped(line), F.lit(" "), F.lit("")).rlike(HEAD_LINE)
 
 
 def clean_scan(text: Column) -> Column:
-    """Page matter dropped, words broken over lines joined, runs of blanks one (FN-S4, FLT12)."""
+    """Page matter dropped, words broken over lines joined, runs of blanks one (FN-S4)."""
     lines = F.filter(F.split(text, "\n"), lambda x: ~is_page_matter(x))
+    # fixed value: the letters and blanks around a break
     joined = F.regexp_replace(F.array_join(lines, "\n"), r"([0-9A-Za-z_])-[ \t\r\n]*\n[ \t\r\n]*([0-9A-Za-z_])", "$1$2")
     return F.regexp_replace(joined, "[ \t]+", " ")
 
 
+def is_running_head(paragraph: Column) -> Column:
+    """The book's running head as one misread word (FLT10)."""
+    s = stripped(paragraph)
+    return ~F.contains(s, F.lit(" ")) & (F.length(s) <= 28) & F.lower(s).rlike(HEAD_WORD)
+
+
+def is_running_headline(text: Column, at: Column) -> Column:
+    """Whether a chapter's mark at a 1-based place heads a page: the next line that is not blank is a lone page number (FLT11)."""
+    lines = F.filter(F.transform(F.split(F.substring(text, at, F.lit(120)), "\n"), stripped), lambda x: x != "")
+    return F.coalesce(F.try_element_at(lines, F.lit(2)).rlike("^[0-9]{1,3}$"), F.lit(False))
+
+
+def is_residue(paragraph: Column) -> Column:
+    """A short paragraph all in capitals (FLT13)."""
+    s = stripped(paragraph)
+    return (F.length(s) < 40) & s.rlike("\\p{Lu}") & ~s.rlike("\\p{Ll}")
+
+
+def scan_paragraph(paragraph: Column) -> Column:
+    """A scanned paragraph on one line, a marginal number before its first word dropped; null where it is a number, a mark of
+    a chapter, a signature, a misread mark or a running head (FLT12)."""
+    s = F.replace(stripped(paragraph), F.lit("\n"), F.lit(" "))
+    misread = (F.length(s) < 40) & (F.contains(s, F.lit(MARK_PARTS[0])) | F.contains(s, F.lit(MARK_PARTS[1])))
+    return F.when((s != "") & ~s.rlike(MARK) & ~misread & ~is_running_head(s), F.regexp_replace(s, "^[0-9]{1,2}[ \t]+([a-z])", "$1"))
+
+
 def looks_footnote(text: Column) -> Column:
     """Opens with a mark or a note's opener, or is a short citation of a page (FLT9, FLT14)."""
     s = stripped(text)
