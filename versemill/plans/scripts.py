@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from versemill.functions import translit as T
@@ -11,7 +9,7 @@ from versemill.functions.cleaning import is_blank
 from versemill.operators import packs, segmentation, witness
 from versemill.plans import library
 from versemill.plans.library import _CURRENT, units
-from versemill.runtime import shared_folder, table
+from versemill.runtime import fresh_folder, table
 from versemill.streaming import reads as stream
 
 QUERIES: dict = {}
@@ -160,14 +158,19 @@ def live_counts_stream(spark, folder):
     events = stream.replay(spark, f"{folder}/progress.parquet")
     u = table(spark, folder, "verses").where("deleted_at is null").select("id", "ch").distinct()
     name = f"live_counts_{abs(hash(folder)) % 10**9}"
-    _drained(spark, stream.live_section_counts(events, u).writeStream.outputMode("complete").format("memory").queryName(name).start())
+    _drained(spark, stream.live_section_counts(events, u).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", fresh_folder(spark)).start())
     return spark.table(name)
 
 
-@query()
+@query(library.ORACLES["event_debounce"].replace("SELECT reader_id, progress_id, verse_id FROM g", "SELECT reader_id, progress_id, read_at FROM g"))
 def event_debounce_stream(spark, folder):
-    """RX3, RX6, RX7: debounced reads from a stream with state and timers; those still open at the end are not out yet."""
-    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    rows = stream.debounced(stream.replay(spark, f"{folder}/progress.parquet"), 3_600_000)
-    _drained(spark, rows.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").start())
-    return spark.read.schema("reader_id long, progress_id long, read_at timestamp").parquet(f"{at}/out")
+    """RX3, RX6, RX7: debounced reads from a stream with state and timers. The end of the table is an event of nobody far ahead
+    in time, which lets the timers of all reads still open fire."""
+    at = fresh_folder(spark)
+    rows = table(spark, folder, "progress").select("reader_id", "progress_id", "read_at")
+    end = rows.agg(F.max("read_at").alias("read_at")).select(F.lit(-1).cast("long").alias("reader_id"), F.lit(-1).cast("long").alias("progress_id"), (F.col("read_at") + F.expr("interval 1000 days")).alias("read_at"))
+    end.write.parquet(f"{at}/end")
+    events = stream.replay(spark, f"{folder}/progress.parquet").select("reader_id", "progress_id", "read_at").unionByName(stream.replay(spark, f"{at}/end"))
+    out = stream.debounced(events, 3_600_000)
+    _drained(spark, out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").start())
+    return spark.read.schema("reader_id long, progress_id long, read_at timestamp").parquet(f"{at}/out").where("reader_id >= 0").withColumn("read_at", F.col("read_at").cast("timestamp_ntz"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from versemill.functions.lexical import Lexicon
+
 BUNDLE = "bundle int, generated string, chapters array<struct<n:int,name:string,title:string,verses:int>>, verses array<struct<id:string,ch:int,n:int,speaker:string,devanagari:string,iast:string,meaning:string,takeaway:string>>, feelings array<struct<name:string,line:string,verses:array<string>>>"
 
 
@@ -66,21 +70,37 @@ def bundle_tables(one: DataFrame) -> dict[str, DataFrame]:
 
 def bundle_faults(one: DataFrame, version: int = 1) -> DataFrame:
     """(id, check, detail) of what makes a bundle unfit (DQ15): version, counts, contiguity, ids, blanks, references."""
-    t = bundle_tables(one)
+    wrong = one.where(~F.coalesce(F.col("bundle") == version, F.lit(False)))
+    return _fault(wrong, "bundle", "version", F.col("bundle")).unionByName(bundle_table_faults(bundle_tables(one)))
+
+
+def _fault(rows: DataFrame, key: str, check: str, detail: Column) -> DataFrame:
+    return rows.select(F.col(key).cast("string").alias("id"), F.lit(check).alias("check"), detail.cast("string").alias("detail"))
+
+
+def bundle_table_faults(t: dict[str, DataFrame]) -> DataFrame:
+    """The same of a bundle's tables: chapters, verses and feelings."""
     v, c = t["verses"], t["chapters"]
-    row = lambda df, key, check, detail: df.select(F.col(key).cast("string").alias("id"), F.lit(check).alias("check"), detail.cast("string").alias("detail"))
     sizes = v.groupBy("ch").agg(F.count("*").alias("k"), F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     met = c.select(F.col("n").alias("ch"), "verses").join(sizes, "ch", "full")
     refs = t["feelings"].select("name", F.explode("verses").alias("ref")).join(v.select(F.col("id").alias("ref")), "ref", "left_anti")
     parts = [
-        row(one.where(~F.coalesce(F.col("bundle") == version, F.lit(False))), "bundle", "version", F.col("bundle")),
-        row(met.where("not (verses <=> k)"), "ch", "count", F.coalesce("k", F.lit(0))),
-        row(sizes.where("lo <> 1 or hi <> k or d <> k"), "ch", "contiguity", F.col("hi")),
-        row(v.where("not (id <=> concat(ch, ':', n))"), "id", "id", F.concat_ws(":", "ch", "n")),
-        row(v.where("coalesce(trim(devanagari), '') = '' or coalesce(trim(meaning), '') = ''"), "id", "blank", F.lit("text")),
-        row(refs, "name", "reference", F.col("ref")),
+        _fault(met.where("not (verses <=> k)"), "ch", "count", F.coalesce("k", F.lit(0))),
+        _fault(sizes.where("lo <> 1 or hi <> k or d <> k"), "ch", "contiguity", F.col("hi")),
+        _fault(v.where("not (id <=> concat(ch, ':', n))"), "id", "id", F.concat_ws(":", "ch", "n")),
+        _fault(v.where("coalesce(trim(devanagari), '') = '' or coalesce(trim(meaning), '') = ''"), "id", "blank", F.lit("text")),
+        _fault(refs, "name", "reference", F.col("ref")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+LEXICON = "aliases map<string,string>, families map<string,array<string>>, archaic map<string,string>, concepts map<string,array<string>>, terms map<string,array<string>>"
+
+
+def lexicon(spark: SparkSession, path: str) -> Lexicon:
+    """An edition's word lists from one JSON document; lists it does not name, or a missing file, leave the built-in ones (SRC14)."""
+    row = optional(spark, path, LEXICON).first()
+    own = {k: v for k, v in (row.asDict() if row else {}).items() if v is not None}
+    if "families" in own:
+        own["forms"] = {form: name for name, forms in own.pop("families").items() for form in forms}
+    return Lexicon(**{k: {x: tuple(y) if isinstance(y, list) else y for x, y in v.items()} for k, v in own.items()})

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versemill.operators.relational import delete_by_keys
+from versemill.runtime import release, stored
 from versemill.sources.readers import exists
 
 
@@ -40,6 +41,27 @@ def upsert(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
     replace_table(delete_by_keys(old, rows, key).unionByName(rows), path)
 
 
+def upsert_buckets(spark: SparkSession, rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """The same over a table kept in folders by the key's hash: only the buckets that the rows touch are read and written (SNK7).
+
+    The merged rows are stored first, then each touched folder is replaced as its write commits; the others stay as they are.
+    Scale the number of buckets with the table, once, when it is made.
+    """
+    rows = stored(rows.dropDuplicates([key]).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    merged = rows
+    if exists(spark, path):
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        old = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
+        merged = stored(delete_by_keys(old, rows, key).unionByName(rows))
+    merged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    release(rows, merged)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """A table kept in buckets, without their numbers."""
+    return spark.read.parquet(path).drop("_bucket")
+
+
 def insert_new(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
     """Rows whose key is new are appended, the others ignored (SNK8)."""
     rows = rows.dropDuplicates([key])

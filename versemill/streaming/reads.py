@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from versemill.sources.sinks import upsert
+from versemill.sources.sinks import upsert_buckets
 
 
 def live_section_counts(reads: DataFrame, units: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def keep_current(spark: SparkSession, events: DataFrame, path: str, checkpoint:
 
     def write(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("bookmark_id").agg(F.max_by(F.struct("reader_id", "verse_id", "created_at"), "ingested_at").alias("r")).select("bookmark_id", "r.*")
-        upsert(batch.sparkSession, latest, path, "bookmark_id")
+        upsert_buckets(batch.sparkSession, latest, path, "bookmark_id")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
