@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versemill.functions.lexical import Lexicon, lemmas, normalized_word, stem
-from versemill.runtime import stored
+from versemill.runtime import small, stored
 
 
 def coded_paragraphs(pages: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def expanded(rows: DataFrame, key: str | list[str], edges: DataFrame, terms: Dat
     Lemmas of six letters or more that no term (lemma, also) is, are first read as the term they are a misreading of (JN20).
     """
     keys = [key] if isinstance(key, str) else key
-    grown = rows.unionByName(rows.join(edges, "lemma").select(*keys, F.col("also").alias("lemma")))
+    grown = rows.unionByName(rows.join(small(edges), "lemma").select(*keys, F.col("also").alias("lemma")))
     if terms is not None:
         near = near_terms(rows.select("lemma"), terms.select(F.col("lemma").alias("term")))
         glossed = near.join(terms.withColumnRenamed("lemma", "term"), "term").select("lemma", "also")
@@ -110,9 +110,14 @@ def synonym_edges(glossary: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFram
     pair = pair.unionByName(pair.select(F.col("also").alias("lemma"), F.col("lemma").alias("also")))
     fixed = [*lexicon.archaic.items(), *((x, y) for words in lexicon.concepts.values() for x in words for y in words)]
     if fixed:
-        own = spark.createDataFrame(fixed, "x string, y string")
+        own = _pairs(spark, fixed)
         pair = pair.unionByName(own.select(normalized_word(F.col("x"), lexicon).alias("lemma"), normalized_word(F.col("y"), lexicon).alias("also")))
-    return pair.where("lemma <> also and lemma <> '' and also <> ''").distinct()
+    return stored(pair.where("lemma <> also and lemma <> '' and also <> ''").distinct())
+
+
+def _pairs(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """(x, y): word lists of a lexicon as a frame of one row, taken apart."""
+    return spark.range(1).select(F.inline(F.arrays_zip(F.lit([x for x, _ in rows]).alias("x"), F.lit([y for _, y in rows]).alias("y"))))
 
 
 def term_glosses(glossary: DataFrame, lexicon: Lexicon) -> DataFrame | None:
@@ -120,19 +125,21 @@ def term_glosses(glossary: DataFrame, lexicon: Lexicon) -> DataFrame | None:
     rows = [(term, word) for term, words in lexicon.terms.items() for word in words]
     if not rows:
         return None
-    own = glossary.sparkSession.createDataFrame(rows, "x string, y string")
+    own = _pairs(glossary.sparkSession, rows)
     return own.select(normalized_word(F.col("x"), lexicon).alias("lemma"), normalized_word(F.col("y"), lexicon).alias("also")).distinct()
 
 
 def matched(ours: DataFrame, source: DataFrame, on: list[str]) -> DataFrame:
     """(on, lemma, ok): whether the source of the same key has our lemma, exactly or, from seven letters on, within two edits.
 
-    Only lemmas without an exact hit are looked for in like ones, which they meet on a part that edits left whole.
+    Only lemmas without an exact hit are looked for in like ones. Which words are alike is worked out once over the distinct
+    words of both sides, not in each key.
     """
     exact = stored(ours.join(source.select(*on, "lemma").distinct().withColumn("hit", F.lit(True)), [*on, "lemma"], "left"))
     long = exact.where("hit is null and length(lemma) >= 7").select(*on, "lemma")
-    near = _near_pairs(long, source.where("length(lemma) >= 7").select(*on, F.col("lemma").alias("term")).distinct(), on)
-    near = near.where(F.levenshtein("lemma", "term", 2) >= 0).select(*on, "lemma").distinct().withColumn("fuzzy", F.lit(True))
+    terms = source.where("length(lemma) >= 7").select(*on, F.col("lemma").alias("term")).distinct()
+    alike = _near_pairs(long.select("lemma").distinct(), terms.select("term").distinct(), []).where(F.levenshtein("lemma", "term", 2) >= 0)
+    near = long.join(small(stored(alike)), "lemma").join(terms, [*on, "term"], "left_semi").select(*on, "lemma").distinct().withColumn("fuzzy", F.lit(True))
     return exact.join(near, [*on, "lemma"], "left").select(*on, "lemma", F.coalesce("hit", "fuzzy", F.lit(False)).alias("ok"))
 
 

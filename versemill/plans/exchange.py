@@ -132,7 +132,7 @@ def landed_pages(spark, folder):
     return readers.pages(spark, f"{at}/*/*.txt").groupBy("sha256", "chars").agg(F.count("*").alias("files"))
 
 
-@query(_CURRENT + r""", w AS (SELECT id, ch, n, speaker, list_filter(list_transform(string_split(iast, chr(10)), lambda x: trim(regexp_replace(x, '[ /|]+$', ''))), lambda x: x <> '') AS lines FROM units WHERE iast IS NOT NULL AND ch < 100)
+@query(_CURRENT + r""", w AS (SELECT id, ch, n, speaker, list_filter(list_transform(string_split(iast, chr(10)), lambda x: regexp_replace(x, '^ +|[ /|]+$', '', 'g')), lambda x: x <> '') AS lines FROM units WHERE iast IS NOT NULL AND ch < 100)
 SELECT id, lines[1] AS first, lines[2] AS second FROM w WHERE len(lines) = 2 AND NOT contains(array_to_string(lines, ' '), '<')""")
 def witness_pages(spark, folder):
     """SRC9: pages of half verses with references, cut into readings."""

@@ -122,8 +122,9 @@ def _poems(spark, folder):
 _LINES = r"regexp_replace(regexp_replace(regexp_replace(x, chr(39) || chr(39) || '+', '', 'g'), '<br\s*/?>|&nbsp;', ' ', 'g'), '[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{00AD}]', '', 'g')"
 
 
-@query(_CURRENT + rf""", full_ AS (SELECT * FROM units WHERE devanagari IS NOT NULL AND trim(devanagari, E' \t\r\n\f') <> '')
-SELECT ch, row_number() OVER (PARTITION BY ch ORDER BY n)::INT AS n, ch AS marked_ch, n AS marked_n, speaker, nfc_normalize(array_to_string(list_filter(list_transform(string_split(devanagari, chr(10)), lambda x: regexp_replace({_LINES}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> ''), chr(10))) AS devanagari FROM full_""")
+@query(_CURRENT + rf""", full_ AS (SELECT * FROM units WHERE devanagari IS NOT NULL AND trim(devanagari, E' \t\r\n\f') <> ''),
+cut AS (SELECT *, list_filter(list_transform(string_split(devanagari, chr(10)), lambda x: regexp_replace({_LINES}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> '') AS l FROM full_)
+SELECT ch, row_number() OVER (PARTITION BY ch ORDER BY n)::INT AS n, ch AS marked_ch, n AS marked_n, speaker, nfc_normalize(array_to_string(CASE WHEN regexp_matches(l[1], '^[^\s।॥]+(\s+[^\s।॥]+){{0,2}}\s+उवाच$') THEN l[2:] ELSE l END, chr(10))) AS devanagari FROM cut""")
 def parse_poems(spark, folder):
     """SEG1, WN1, WN10, FN-S8: chapters written as poems with markers and cut into verses again."""
     return segmentation.parsed_poems(_poems(spark, folder))
