@@ -15,7 +15,7 @@ import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.runtime import small
+from versemill.runtime import small, stored
 
 # fixed values: marks that look like the bar between half verses, and like a visarga
 _BARS, _COLONS = "|।│ǀ｜∣❘⎮⏐׀", ":：꞉ः׃︓ː᛬⁚։∶܃܄"
@@ -198,5 +198,5 @@ def not_plain(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     Groups are made of distinct codings; the records find theirs by the text itself. A repeated record comes out once for
     each of its rows; null and empty fields never do.
     """
-    cases = _variants(normal_forms(df, id_col, fields)).where("original <> plain or foreign").select("field", "original")
+    cases = stored(_variants(normal_forms(df, id_col, fields)).where("original <> plain or foreign").select("field", "original"))
     return long_form(df, id_col, fields).select("row_id", "field", "original").join(small(cases), ["field", "original"], "left_semi").select("row_id", "field")
