@@ -233,7 +233,7 @@ def scan_findings(pages: DataFrame, clean: list[DataFrame], chapter_col: str = "
             rows = [(c, p, *x) for c, p, t, *own in zip(pdf.chapter, pdf.para, pdf.text, *sets) for x in read_paragraph(t, *own)]
             yield pd.DataFrame(rows, columns=["chapter", "para", "line", "place", "kind", "raw", "word", "next"])
 
-    tokens = stored(paras.join(told, ["chapter", "para"], "left").mapInPandas(read, "chapter int, para int, line int, place int, kind string, raw string, word string, next string"))
+    tokens = stored(paras.join(told, ["chapter", "para"], "left").repartition(parts).mapInPandas(read, "chapter int, para int, line int, place int, kind string, raw string, word string, next string"))
     words, breaks = tokens.where("kind = 'w'"), tokens.where("kind = 'h'")
 
     @F.pandas_udf("string")
